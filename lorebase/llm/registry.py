@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, secrets, urlrules
+from . import chat, decontaminate, neardup, secrets, urlrules
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op7_url_filter": urlrules.op7_url_filter,
     "op9_chat_format": chat.op9_chat_format,
 }
 
 ORACLES = {
     "op4_decontamination": decontaminate.ORACLE,
+    "op5_near_duplicates": neardup.ORACLE,
     "op7_url_filter": urlrules.ORACLE,
     "op9_chat_format": chat.ORACLE,
 }
