@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, neardup, secrets, suffix, urlrules
+from . import chat, decontaminate, neardup, quality, secrets, suffix, urlrules
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_quality": quality.op3_quality,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op7_url_filter": urlrules.op7_url_filter,
