@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, neardup, quality, secrets, suffix, urlrules
+from . import chat, decontaminate, lattice, neardup, quality, secrets, suffix, urlrules
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op7_url_filter": urlrules.op7_url_filter,
+    "op8_lattice_scores": lattice.op8_lattice_scores,
     "op9_chat_format": chat.op9_chat_format,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
