@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, lattice, neardup, quality, secrets, suffix, urlrules
+from . import chat, decontaminate, lattice, media, neardup, quality, secrets, suffix, urlrules
 
 QUERIES = {
+    "op1_media_columns": media.op1_media_columns,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality": quality.op3_quality,
     "op4_decontamination": decontaminate.op4_decontamination,
