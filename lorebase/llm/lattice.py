@@ -53,7 +53,9 @@ class Vocabulary:
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)) and MARK not in text[1:]:
                 self.pieces[text] = i
                 score[i] = p.get_score(i)
-        self.longest = max(map(len, self.pieces))
+        #: pieces by text, and -1 for beginnings of pieces: a search stops where no piece goes on
+        self.begun = {t[:i]: -1 for t in self.pieces for i in range(1, len(t))} | self.pieces
+        self.spelled: dict[str, tuple[int, ...]] = {}
         known = np.array(sorted(self.pieces.values()))
         ranks = known.size and np.all(score[known] == np.round(score[known]))
         weight = np.zeros(self.size + 1)  # the last is the end
@@ -65,74 +67,108 @@ class Vocabulary:
         weight[self.size] = weight[known].sum() / 100
         self.first = weight / weight.sum()
 
+    def spell(self, char: str) -> tuple[int, ...]:
+        """The byte pieces of a character."""
+        ids = self.spelled.get(char)
+        if ids is None:
+            ids = self.spelled[char] = tuple(self.bytes[b] for b in char.encode("utf-8", "surrogatepass"))
+        return ids
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str = TOKENIZER) -> Vocabulary:
     return Vocabulary(path)
 
 
-def arcs(word: str, v: Vocabulary, logp: list[float]) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-    """By end: (start, log weight, piece ids) of the lattice's arcs."""
+def forward(word: str, v: Vocabulary, logp: list[float]) -> float:
+    """Log of the word's weight summed over all segmentations: a forward recursion in log space."""
     text = MARK + word
     n = len(text)
-    out: list[list] = [[] for _ in range(n + 1)]
-    get, longest = v.pieces.get, v.longest
+    get, exp = v.begun.get, math.exp
+    terms: list[list[float]] = [[] for _ in range(n + 1)]
+    a = 0.0
     for i in range(n):
-        for j in range(i + 1, min(n, i + longest) + 1):
-            if (k := get(text[i:j])) is not None:
-                out[j].append((i, logp[k], (k,)))
-        ids = tuple(v.bytes[b] for b in text[i].encode("utf-8", "surrogatepass"))
-        out[i + 1].append((i, sum(logp[k] for k in ids), ids))
-    return out
+        if i:
+            own = terms[i]
+            if len(own) == 1:
+                a = own[0]
+            else:
+                top = max(own)
+                total = 0.0
+                for x in own:
+                    total += exp(x - top)
+                a = top + math.log(total)
+        for j in range(i + 1, n + 1):
+            k = get(text[i:j])
+            if k is None:
+                break
+            if k >= 0:
+                terms[j].append(a + logp[k])
+        terms[i + 1].append(a + sum([logp[k] for k in v.spell(text[i])]))
+    own = terms[n]
+    top = max(own)
+    return top + math.log(sum([exp(x - top) for x in own]))
 
 
-def forward(word: str, v: Vocabulary, logp: list[float]) -> float:
-    """Log of the word's weight summed over all segmentations."""
+#: Words up to so many characters are summed as plain products in the expectation step; weights are above 1e-9 there.
+PLAIN = 24
+
+
+def expected(word: str, count: float, v: Vocabulary, logp: list[float], prob: list[float], into: list[float]) -> None:
+    """Adds count times the pieces' expected numbers over the word's segmentations."""
     text = MARK + word
     n = len(text)
-    get, longest, spell = v.pieces.get, v.longest, v.bytes
-    exp, log = math.exp, math.log
-    alpha = [0.0] * (n + 1)
-    for j in range(1, n + 1):
-        terms = []
-        for i in range(j - longest if j > longest else 0, j):
+    get = v.begun.get
+    ends: list[list[tuple]] = [[] for _ in range(n + 1)]
+    plain = n <= PLAIN
+    alpha = [1.0 if plain else 0.0] + [0.0 if plain else -math.inf] * n
+    for i in range(n):
+        a = alpha[i]
+        for j in range(i + 1, n + 1):
             k = get(text[i:j])
-            if k is not None:
-                terms.append(alpha[i] + logp[k])
-        a = alpha[j - 1]
-        for b in text[j - 1].encode("utf-8", "surrogatepass"):
-            a += logp[spell[b]]
-        terms.append(a)
-        if len(terms) == 1:
-            alpha[j] = a
+            if k is None:
+                break
+            if k >= 0:
+                ends[j].append((i, k))
+                if plain:
+                    alpha[j] += a * prob[k]
+                else:
+                    alpha[j] = _log_add(alpha[j], a + logp[k])
+        if ends[i + 1] and ends[i + 1][-1][0] == i:
+            continue  # the character is a piece itself, against which its spelling in bytes weighs next to nothing
+        ids = v.spell(text[i])
+        ends[i + 1].append((i, ids))
+        if plain:
+            x = a
+            for k in ids:
+                x *= prob[k]
+            alpha[i + 1] += x
         else:
-            top = max(terms)
-            total = 0.0
-            for x in terms:
-                total += exp(x - top)
-            alpha[j] = top + log(total)
-    return alpha[n]
-
-
-def expected(word: str, count: float, v: Vocabulary, logp: list[float], into: np.ndarray) -> None:
-    """Adds count times the pieces' expected numbers over the word's segmentations."""
-    ends = arcs(word, v, logp)
-    n = len(ends) - 1
-    alpha = [0.0] + [-math.inf] * n
-    for j in range(1, n + 1):
-        terms = [alpha[i] + w for i, w, _ in ends[j]]
-        top = max(terms)
-        alpha[j] = top + math.log(sum(math.exp(x - top) for x in terms))
-    beta = [-math.inf] * n + [0.0]
+            alpha[i + 1] = _log_add(alpha[i + 1], a + sum([logp[k] for k in ids]))
+    beta = [0.0 if plain else -math.inf] * n + [1.0 if plain else 0.0]
+    scale = count / alpha[n] if plain else 0.0
     for j in range(n, 0, -1):
-        for i, w, ids in ends[j]:
-            x = w + beta[j]
-            y = beta[i]
-            beta[i] = x if y == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-            share = math.exp(alpha[i] + x - alpha[n])
-            if share > 1e-12:
-                for k in ids:
-                    into[k] += count * share
+        b = beta[j]
+        for i, k in ends[j]:
+            ids = (k,) if isinstance(k, int) else k
+            if plain:
+                x = b
+                for q in ids:
+                    x *= prob[q]
+                beta[i] += x
+                share = alpha[i] * x * scale
+            else:
+                x = b + sum([logp[q] for q in ids])
+                beta[i] = _log_add(beta[i], x)
+                share = count * math.exp(alpha[i] + x - alpha[n])
+            for q in ids:
+                into[q] += share
+
+
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -181,10 +217,12 @@ def piece_weights(words: DataFrame, ends: int, tokenizer: str) -> np.ndarray:
         v = vocabulary(tokenizer)
         with np.errstate(divide="ignore"):
             logp = np.log(v.first).tolist()
-        into = np.zeros(v.size + 1)
+        prob = v.first.tolist()
+        into = [0.0] * (v.size + 1)
         for b in batches:
             for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                expected(w.decode("utf-8", "replace"), c, v, logp, into)
+                expected(w.decode("utf-8", "replace"), c, v, logp, prob, into)
+        into = np.array(into)
         at = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(into[at])], names=["piece", "mass"])
 
