@@ -79,24 +79,26 @@ def choose(node: np.ndarray, sig: np.ndarray, similarity: float) -> tuple[np.nda
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set as two longs, and its minwise tokens."""
+    """doc_id, n_shingles, a 128-bit key of the set as two longs, and its minwise tokens, whole and the low byte of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         hashes = WordHash()
         for b in batches:
-            size, hi, lo, sig = [], [], [], []
+            size, hi, lo, sig, low = [], [], [], [], []
             for t in column_bytes(b):
                 s = shingle_set(t, n, hashes)
                 key = xxhash.xxh128_intdigest(s.tobytes())
                 size.append(len(s))
                 hi.append((key >> 64) - (1 << 63))
                 lo.append((key & ((1 << 64) - 1)) - (1 << 63))
-                sig.append(minwise(s).tobytes() if len(s) else None)
+                tokens = minwise(s) if len(s) else None
+                sig.append(None if tokens is None else tokens.tobytes())
+                low.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
             ids = b.column(b.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "sig", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, hi long, lo long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, hi long, lo long, sig binary, low binary")
 
 
 def branch(rows: DataFrame, similarity: float, trees: range | None = None) -> DataFrame:
@@ -260,6 +262,53 @@ def chunked(large: DataFrame, labels: DataFrame | None, chunk: int, pivots: int)
     return every.select(F.xxhash64("node", "chunk", "block").alias("gid"), "only_first", "first", "rep")
 
 
+def likely(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The same rows for the parts of each group that minwise tokens, a byte of each, may link at all (five standard deviations below the threshold); equal parts of several groups are one group."""
+    p = percent / 100
+    least = (p - 5 * (p * (1 - p) / TOKENS) ** 0.5) * TOKENS
+
+    def parts(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        _, only, first, rep, sig = zip(*rows, strict=True)
+        first = np.array(first, bool)
+        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, TOKENS)
+        label = np.arange(len(rows))
+        for i in np.flatnonzero(first) if only[0] else range(len(rows) - 1):
+            rest = np.flatnonzero(label != label[i]) if only[0] else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            if len(rest):
+                near = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
+                if len(near):
+                    label[np.isin(label, label[near])] = label[i]
+        out = []
+        order = np.argsort(label, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(part) > 1:
+                part = sorted(part.tolist(), key=lambda k: rep[k])
+                gid = xxhash.xxh64_intdigest(repr([(rep[k], bool(first[k])) for k in part] + [only[0]])) - (1 << 63)
+                out += [(gid, only[0], bool(first[k]), rep[k]) for k in part]
+        return out
+
+    def run(batches):
+        held: list[tuple] = []
+        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["gid", "only_first", "first", "rep"])
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("gid", "only_first", "first", "rep", "sig")), strict=True):
+                if held and held[0][0] != row[0]:
+                    out += parts(held)
+                    held = []
+                held.append(row)
+            yield batch(out)
+        yield batch(parts(held))
+
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = groups.join(reps.select("rep", F.col("low").alias("sig")), "rep").select("gid", "only_first", "first", "rep", "sig")
+    dealt = rows.repartition(n, "gid").sortWithinPartitions("gid")
+    return dealt.mapInArrow(run, "gid long, only_first boolean, first boolean, rep long").distinct()
+
+
 def with_sets(groups: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame | None, shingle: int) -> DataFrame:
     """Adds label, sig and items: the sets of the documents in groups, made anew from their texts."""
     groups = stored(groups, "groups")
@@ -293,7 +342,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: tuple[i
     full = sketch.where("n_shingles > 0 and doc_id is not null").withColumn("rep", F.col("doc_id").cast("long"))
     own = stored(full.groupBy("hi", "lo").agg(F.min("rep").alias("rep")), "classes")
     # a repeated id has one row here
-    reps = stored(full.join(own, ["hi", "lo", "rep"], "left_semi").select("rep", "sig").dropDuplicates(["rep"]), "representatives")
+    reps = stored(full.join(own, ["hi", "lo", "rep"], "left_semi").select("rep", "sig", "low").dropDuplicates(["rep"]), "representatives")
     links, labels, before = None, None, None
     done = 0
     for n in trees:
@@ -304,7 +353,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: tuple[i
             groups = groups.union(chunked(large, labels, chunk, PIVOTS))
         if labels is not None and before is not None:
             groups = groups.union(chunked(before, labels, chunk, PIVOTS))
-        found = stored(compare(with_sets(groups, docs, reps, labels, shingle), percent), "found")
+        found = stored(compare(with_sets(likely(groups, reps, percent), docs, reps, labels, shingle), percent), "found")
         links = found if links is None else links.union(found)
         if labels is not None:
             links = links.union(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
