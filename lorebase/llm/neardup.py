@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from .common import WordHash, blocks, column_bytes, mix64, space_words, stored
 
 TOKENS = 64
-SMALL = 64
-LEVELS = 4
+SMALL = 256
+LEVELS = 6
 CHUNK = 2_000
-PIVOTS = 4
+#: Links that one task may join, 16 bytes each; more are joined by stars.
+ONE_TASK_LINKS = 2_000_000
 #: Trees of the first and the second pass. A pair at the threshold meets at one level of one tree with a chance near it.
-TREES = (4, 14)
+TREES = (3, 15)
 #: Broadcast of wanted ids: at most so many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -102,21 +103,21 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
 
 def branch(rows: DataFrame, similarity: float, trees: range | None = None) -> DataFrame:
-    """(node, rep) of the next level: from (node, rep, sig), or from (rep, sig) at the roots of ``trees``."""
+    """(node, rep, label) of the next level: from (node, rep, label, sig), or from (rep, label, sig) at the roots of ``trees``."""
 
     def run(batches):
         for b in batches:
             sig = np.frombuffer(b"".join(b.column(b.schema.get_field_index("sig")).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            rep = b.column(b.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
+            rep, label = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("rep", "label"))
             if trees is None:
                 starts = [b.column(b.schema.get_field_index("node")).to_numpy(zero_copy_only=False).view(np.uint64)]
             else:
                 starts = [mix64(np.full(len(rep), t + 1, np.uint64)) for t in trees]
             for p in starts:
                 row, child = choose(p, sig, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row])], names=["node", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), pa.array(label[row])], names=["node", "rep", "label"])
 
-    return rows.mapInArrow(run, "node long, rep long")
+    return rows.mapInArrow(run, "node long, rep long, label long")
 
 
 def joins(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -188,11 +189,42 @@ def compare(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, spark: SparkSession) -> DataFrame | None:
-    """(rep, label): the smallest document of each linked document's component; None without links. Large and small stars in turn until nothing moves."""
-    edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "links")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-    if not state[0]:
+    """(rep, label): the smallest document of each linked document's component; None without links.
+
+    Up to ONE_TASK_LINKS links, counted first, one task joins them; more go through large and small stars in turn until
+    nothing moves.
+    """
+    edges = stored(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v"), "links")
+    n = edges.count()
+    if not n:
         return None
+    if n <= ONE_TASK_LINKS:
+        return stored(edges.coalesce(1).mapInArrow(joined, "rep long, label long"), "components")
+    return stars(edges)
+
+
+def joined(batches):
+    """Union-find over (v, u) in one task."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
+        return x
+
+    for b in batches:
+        for v, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            v, u = find(v), find(u)
+            if v != u:
+                parent[max(u, v)] = min(u, v)
+    reps = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([find(x) for x in reps], pa.int64())], names=["rep", "label"])
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(rep, label) from edges (v, u), v > u, of any number."""
+    edges = edges.distinct()
+    state = None
     while True:
         both = edges.union(edges.select("u", "v"))  # (v, u): v's neighbour u
         low = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -202,75 +234,71 @@ def components(links: DataFrame, spark: SparkSession) -> DataFrame | None:
         low = edges.groupBy("v").agg(F.min("u").alias("m"))
         edges = edges.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).where("u <> v").distinct()
         edges = stored(edges, "stars")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if tuple(now) == tuple(state):
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+        if now == state:
             return edges.select(F.col("v").alias("rep"), F.col("u").alias("label"))
         state = now
 
 
-def tree_nodes(reps: DataFrame, trees: range, similarity: float, labels: DataFrame | None, small: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
-    """Nodes to compare, as (node, rep): those of 2 to ``small`` documents, and those still larger at the last level. Nodes whose documents are all in one component are left out."""
-    spark = reps.sparkSession
-    rows = branch(reps.select("rep", "sig"), similarity, trees)
-    found, large = [], None
+def tree_nodes(reps: DataFrame, trees: range, similarity: float, small: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """Nodes to compare, as (node, rep, label): those of 2 to ``small`` documents, and those that stay larger. Nodes whose documents are all in one component are left out. Large nodes branch on while that parts them: a family of copies keeps together, and is left to :func:`chunked`."""
+    rows = branch(reps.select("rep", "label", "sig"), similarity, trees)
+    found, large, before = None, None, None
     for level in range(1, levels + 1):
-        rows = stored(rows, "paths")
-        named = rows if labels is None else rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        per = named.groupBy("node").agg(F.count("*").alias("n"), *([] if labels is None else [F.min("label").alias("l0"), F.max("label").alias("l1")]))
-        per = stored(per.where("n > 1" if labels is None else "n > 1 and l0 <> l1").select("node", "n"), "nodes")
-        found.append(rows.join(per.where(F.col("n") <= small).select("node"), "node"))
-        big = per.where(F.col("n") > small).select("node")
-        if big.isEmpty():
-            break
-        large = rows.join(big, "node")
-        if level < levels:
-            rows = branch(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig"), similarity)
-            large = None
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out, None if large is None else stored(large, "large")
-
-
-def small_groups(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (gid, only_first, first, rep); nodes of different trees with the same documents are one group."""
-    lists = nodes.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").where(F.size("reps") > 1).distinct()
-    return lists.select(F.xxhash64("reps").alias("gid"), F.explode("reps").alias("rep")).select("gid", F.lit(False).alias("only_first"), F.lit(False).alias("first"), "rep")
-
-
-def chunked(large: DataFrame, labels: DataFrame | None, chunk: int, pivots: int) -> DataFrame:
-    """Rows (gid, only_first, first, rep) for nodes of any size. Without labels: chunks with the node's pivots in each. With labels: what lies outside the node's largest component, in blocks, against every chunk."""
-    n = large.groupBy("node").agg(F.count("*").alias("n"))
-    rows = large.join(n, "node").withColumn("chunks", F.ceil(F.col("n") / chunk))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")))
-    if labels is None:
-        plain = rows.select("node", "chunk", "chunks", "rep", F.lit(False).alias("first"), F.lit(False).alias("only_first"), F.lit(0).cast("long").alias("block"))
-        top = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", F.lit(11)), F.col("rep"))).alias("p1"), F.min(F.struct(F.xxhash64("rep", F.lit(12)), F.col("rep"))).alias("p2"), F.min(F.struct(F.xxhash64("rep", F.lit(13)), F.col("rep"))).alias("p3"), F.min(F.struct(F.xxhash64("rep", F.lit(14)), F.col("rep"))).alias("p4"))
-        picked = top.select("node", F.explode(F.array_distinct(F.array(*[F.col(f"p{i + 1}.rep") for i in range(min(pivots, 4))]))).alias("rep"))
-        picked = picked.join(n, "node").select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / chunk) - 1)).alias("chunk"), F.ceil(F.col("n") / chunk).alias("chunks"), "rep", F.lit(True).alias("first"), F.lit(False).alias("only_first"), F.lit(0).cast("long").alias("block"))
+        per = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        per = stored(per.where("n > 1 and l0 <> l1").select("node", "n"), "nodes")
+        part = rows.join(per.where(F.col("n") <= small).select("node"), "node")
+        found = part if found is None else found.union(part)
+        n = per.where(F.col("n") > small).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not n:
+            return found, None
+        large = stored(rows.join(per.where(F.col("n") > small).select("node"), "node"), "large")
+        if level == levels or (before is not None and n > before / 2):
+            return found, large
+        before = n
+        rows = branch(large.join(reps.select("rep", "sig"), "rep").select("node", "rep", "label", "sig"), similarity)
+    return found, large
+
+
+_GROUP = ("gid", "only_first", "first", "rep", "label")
+
+
+def small_groups(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("node").alias("gid"), F.lit(False).alias("only_first"), F.lit(False).alias("first"), "rep", "label")
+
+
+def chunked(large: DataFrame, parted: bool, chunk: int) -> DataFrame:
+    """Groups from nodes (node, rep, label) of any size. Not parted (each document is its own component): chunks with the node's four pivots in each. Parted: what lies outside the node's largest component, in blocks, against every chunk."""
+    n = large.groupBy("node").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("rep", F.lit(10 + i)), "rep", "label")).alias(f"p{i}") for i in range(4)])
+    n = n.withColumn("chunks", F.ceil(F.col("n") / chunk))
+    rows = large.join(n.select("node", "chunks"), "node").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")))
+    every = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
+    zero = F.lit(0).cast("long")
+    if not parted:
+        plain = rows.select("node", "chunk", zero.alias("block"), "rep", "label", F.lit(False).alias("first"))
+        picked = n.select("node", "chunks", F.explode(F.array_distinct(F.array(*[F.struct(f"p{i}.rep", f"p{i}.label") for i in range(4)]))).alias("p"))
+        picked = picked.select("node", every("chunks").alias("chunk"), zero.alias("block"), "p.rep", "p.label", F.lit(True).alias("first"))
     else:
-        rows = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         main = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("main"))
         out = rows.join(main, "node").where("label <> main")
-        many = out.groupBy("node").agg(F.count("*").alias("u")).withColumn("blocks", F.ceil(F.col("u") / chunk))
+        many = out.groupBy("node").agg(F.ceil(F.count("*") / chunk).alias("blocks"))
         out = out.join(many, "node").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")))
-        picked = out.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "chunks", "rep", F.lit(True).alias("first"), F.lit(True).alias("only_first"), "block")
-        plain = rows.join(many, "node").select("node", "chunk", "chunks", "rep", F.lit(False).alias("first"), F.lit(True).alias("only_first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    every = plain.select("node", "chunk", "block", "only_first", "first", "rep").union(picked.select("node", "chunk", "block", "only_first", "first", "rep"))
-    # a pivot that also lies in the chunk is there once
-    every = every.groupBy("node", "chunk", "block", "rep").agg(F.max("first").alias("first"), F.max("only_first").alias("only_first"))
-    return every.select(F.xxhash64("node", "chunk", "block").alias("gid"), "only_first", "first", "rep")
+        picked = out.select("node", every("chunks").alias("chunk"), "block", "rep", "label", F.lit(True).alias("first"))
+        plain = rows.join(many, "node").select("node", "chunk", every("blocks").alias("block"), "rep", "label", F.lit(False).alias("first"))
+    # a document that is first and also lies in the chunk is there once
+    both = plain.union(picked).groupBy("node", "chunk", "block", "rep").agg(F.max("first").alias("first"), F.min("label").alias("label"))
+    return both.select(F.xxhash64("node", "chunk", "block").alias("gid"), F.lit(parted).alias("only_first"), "first", "rep", "label")
 
 
 def likely(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The same rows for the parts of each group that minwise tokens, a byte of each, may link at all (five standard deviations below the threshold); equal parts of several groups are one group."""
+    """The rows of those parts of each group that minwise tokens, a byte of each, may link (five standard deviations below the threshold), unless one component holds a whole part; equal parts of several groups are one group."""
     p = percent / 100
     least = (p - 5 * (p * (1 - p) / TOKENS) ** 0.5) * TOKENS
 
     def parts(rows: list[tuple]) -> list[tuple]:
         if len(rows) < 2:
             return []
-        _, only, first, rep, sig = zip(*rows, strict=True)
+        _, only, first, rep, own, sig = zip(*rows, strict=True)
         first = np.array(first, bool)
         sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, TOKENS)
         label = np.arange(len(rows))
@@ -283,19 +311,19 @@ def likely(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         out = []
         order = np.argsort(label, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-            if len(part) > 1:
+            if len(part) > 1 and len({own[k] for k in part}) > 1:
                 part = sorted(part.tolist(), key=lambda k: rep[k])
                 gid = xxhash.xxh64_intdigest(repr([(rep[k], bool(first[k])) for k in part] + [only[0]])) - (1 << 63)
-                out += [(gid, only[0], bool(first[k]), rep[k]) for k in part]
+                out += [(gid, only[0], bool(first[k]), rep[k], own[k]) for k in part]
         return out
 
     def run(batches):
         held: list[tuple] = []
-        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
-        batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["gid", "only_first", "first", "rep"])
+        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=list(_GROUP))
         for b in batches:
             out = []
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("gid", "only_first", "first", "rep", "sig")), strict=True):
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*_GROUP, "low")), strict=True):
                 if held and held[0][0] != row[0]:
                     out += parts(held)
                     held = []
@@ -304,13 +332,12 @@ def likely(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         yield batch(parts(held))
 
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = groups.join(reps.select("rep", F.col("low").alias("sig")), "rep").select("gid", "only_first", "first", "rep", "sig")
-    dealt = rows.repartition(n, "gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(run, "gid long, only_first boolean, first boolean, rep long").distinct()
+    dealt = groups.join(reps.select("rep", "low"), "rep").select(*_GROUP, "low").repartition(n, "gid").sortWithinPartitions("gid")
+    return dealt.mapInArrow(run, "gid long, only_first boolean, first boolean, rep long, label long").dropDuplicates(["gid", "rep"])
 
 
-def with_sets(groups: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataFrame | None, shingle: int) -> DataFrame:
-    """Adds label, sig and items: the sets of the documents in groups, made anew from their texts."""
+def with_sets(groups: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Adds sig and items: the sets of the documents in groups, made anew from their texts, and their tokens."""
     groups = stored(groups, "groups")
     want = stored(groups.select("rep").distinct(), "wanted")
     if want.count() <= BROADCAST_ROWS:
@@ -322,50 +349,43 @@ def with_sets(groups: DataFrame, docs: DataFrame, reps: DataFrame, labels: DataF
         for b in batches:
             raw, rep = column_bytes(b), b.column(b.schema.get_field_index("rep"))
             for i, j in blocks(raw, 4_000_000):
-                yield pa.RecordBatch.from_arrays([rep.slice(i, j - i), pa.array([shingle_set(t, shingle, hashes).tobytes() for t in raw[i:j]], pa.binary())], names=["rep", "items"])
+                sets = [shingle_set(t, shingle, hashes) for t in raw[i:j]]
+                yield pa.RecordBatch.from_arrays([rep.slice(i, j - i), pa.array([minwise(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "sig", "items"])
 
-    sets = texts.mapInArrow(run, "rep long, items binary").where(F.length("items") > 0)
-    sets = sets.join(reps.select("rep", "sig"), "rep")
-    if labels is not None:
-        sets = sets.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    else:
-        sets = sets.withColumn("label", F.col("rep"))
+    sets = texts.mapInArrow(run, "rep long, sig binary, items binary").where(F.length("items") > 0)
     return groups.join(sets, "rep")
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: tuple[int, int] = TREES, small: int = SMALL, levels: int = LEVELS, chunk: int = CHUNK) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    similarity = percent / 100
     docs = docs.select("doc_id", "text")
     sketch = stored(sketches(docs, shingle), "sketches")
-    full = sketch.where("n_shingles > 0 and doc_id is not null").withColumn("rep", F.col("doc_id").cast("long"))
-    own = stored(full.groupBy("hi", "lo").agg(F.min("rep").alias("rep")), "classes")
-    # a repeated id has one row here
-    reps = stored(full.join(own, ["hi", "lo", "rep"], "left_semi").select("rep", "sig", "low").dropDuplicates(["rep"]), "representatives")
+    full = sketch.where("n_shingles > 0 and doc_id is not null")
+    own = full.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig", "low")).alias("r"))
+    reps = stored(own.select("hi", "lo", "r.rep", "r.sig", "r.low"), "representatives")
+    now = reps.withColumn("label", F.col("rep"))
     links, labels, before = None, None, None
     done = 0
     for n in trees:
-        nodes, large = tree_nodes(reps, range(done, done + n), similarity, labels, small, levels)
+        nodes, large = tree_nodes(now, range(done, done + n), percent / 100, small, levels)
         done += n
-        groups = small_groups(nodes, labels)
+        groups = small_groups(nodes)
         if large is not None:
-            groups = groups.union(chunked(large, labels, chunk, PIVOTS))
-        if labels is not None and before is not None:
-            groups = groups.union(chunked(before, labels, chunk, PIVOTS))
-        found = stored(compare(with_sets(likely(groups, reps, percent), docs, reps, labels, shingle), percent), "found")
-        links = found if links is None else links.union(found)
-        if labels is not None:
-            links = links.union(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+            groups = groups.union(chunked(large, labels is not None, chunk))
+        if before is not None and labels is not None:
+            again = before.drop("label").join(now.select("rep", "label"), "rep").select("node", "rep", "label")
+            groups = groups.union(chunked(again, True, chunk))
+        found = compare(with_sets(likely(groups, reps, percent), docs, shingle), percent)
+        links = found if labels is None else found.union(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
         before = large
-        labels = components(links, spark)
-    out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(own, ["hi", "lo"], "left")
-    if labels is not None:
-        out = out.join(labels, "rep", "left")
-    else:
-        out = out.withColumn("label", F.lit(None).cast("long"))
+        newer = components(links, spark)
+        labels = newer if newer is not None else labels
+        if labels is not None:
+            now = stored(reps.join(labels, "rep", "left").select("hi", "lo", "rep", "sig", "low", F.coalesce("label", "rep").alias("label")), "labelled")
+    out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(now.select("hi", "lo", "label"), ["hi", "lo"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id").cast("long")).otherwise(F.coalesce("label", "rep"))
+    component = F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("label"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
