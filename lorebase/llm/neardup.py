@@ -3,16 +3,16 @@
 Each document is the set of its word shingles; equal sets are one node of the link graph from the start, so copies cost
 a row each and no more. A set's 64 minwise values are its tokens. In each of several independent trees a node picks a
 minwise token (and, with the chance that keeps the expected number of paths at 1 over the threshold, a second), which
-branches its documents by that token's value. A node of at most ``small`` documents is compared exhaustively on full
-sets, a larger one branches again. Trees are repeated to the recall wanted; later trees only look at nodes whose
-documents are not yet in one component.
+branches its documents by that token's value. A node of at most ``small`` documents is compared exhaustively, a larger
+one branches again, as long as that parts it. Trees are repeated to the recall wanted.
 
-A node still large at the last level is most likely one family of copies. It is compared in chunks that all hold the
-same pivots; what then lies outside the node's largest component is compared with every chunk. So a family costs about
-one comparison a member, nothing is capped, and no task holds more than a chunk.
+Documents compare by their tokens first, far below the threshold; what that joins, over all trees, is a family. Within
+families links are confirmed on the full sets of 64-bit shingle hashes, so a text's set is sent once, not once a tree.
 
-A link is confirmed on the full sets of 64-bit shingle hashes. Only links between components are kept, at most one
-less than a node has members; components come from alternating star operations over the written link table.
+A node or family too large for one task is compared in chunks that all hold the same pivots; what then lies outside its
+largest component is compared with every chunk. So a family of copies costs about one comparison a member, nothing is
+capped, and no task holds more than two chunks. Only links between components are kept, at most one less than a group
+has members.
 
 Defined cases: a null or wordless text is empty and linked with nothing; fewer words than a shingle make one shingle;
 rows that share a doc_id are one document; a row with a null doc_id is linked with nothing, its component_id is null
@@ -32,11 +32,11 @@ from .common import WordHash, blocks, column_bytes, mix64, space_words, stored
 TOKENS = 64
 SMALL = 256
 LEVELS = 6
-CHUNK = 2_000
+CHUNK = 1_000
 #: Links that one task may join, 16 bytes each; more are joined by stars.
 ONE_TASK_LINKS = 2_000_000
-#: Trees of the first and the second pass. A pair at the threshold meets at one level of one tree with a chance near it.
-TREES = (3, 15)
+#: A pair at the threshold meets at one level of a tree with a chance near it; all trees miss it once in many millions.
+TREES = 18
 #: Broadcast of wanted ids: at most so many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -159,35 +159,6 @@ def resolve(rep: np.ndarray, first: np.ndarray, label: np.ndarray, sig: np.ndarr
     return found
 
 
-def compare(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) from rows (gid, only_first, first, rep, label, sig, items), any number of groups in a partition, each bounded."""
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def flush():
-            if len(held) < 2:
-                return []
-            _, only, first, rep, label, sig, items = zip(*held, strict=True)
-            return resolve(np.array(rep), np.array(first, bool), np.array(label), np.frombuffer(b"".join(sig), np.uint32).reshape(-1, TOKENS), [np.frombuffer(x, np.uint64) for x in items], percent, only[0])
-
-        for b in batches:
-            out = []
-            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                for row in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("gid", "only_first", "first", "rep", "label", "sig", "items")), strict=True):
-                    if held and held[0][0] != row[0]:
-                        out += flush()
-                        held = []
-                    held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-        out = flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.select("gid", "only_first", "first", "rep", "label", "sig", "items").repartition(n, "gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
 def components(links: DataFrame, spark: SparkSession) -> DataFrame | None:
     """(rep, label): the smallest document of each linked document's component; None without links.
 
@@ -291,49 +262,62 @@ def chunked(large: DataFrame, parted: bool, chunk: int) -> DataFrame:
 
 
 def likely(groups: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The rows of those parts of each group that minwise tokens, a byte of each, may link (five standard deviations below the threshold), unless one component holds a whole part; equal parts of several groups are one group."""
+    """Links (a, b) that join what minwise tokens, a byte of each, may link at all (five standard deviations below the threshold) across the labels of each group; fewer than its members."""
     p = percent / 100
     least = (p - 5 * (p * (1 - p) / TOKENS) ** 0.5) * TOKENS
 
-    def parts(rows: list[tuple]) -> list[tuple]:
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         if len(rows) < 2:
             return []
         _, only, first, rep, own, sig = zip(*rows, strict=True)
         first = np.array(first, bool)
         sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, TOKENS)
-        label = np.arange(len(rows))
+        label = np.unique(own, return_inverse=True)[1]
+        out = []
         for i in np.flatnonzero(first) if only[0] else range(len(rows) - 1):
             rest = np.flatnonzero(label != label[i]) if only[0] else i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
             if len(rest):
                 near = rest[(sig[rest] == sig[i]).sum(axis=1) >= least]
                 if len(near):
-                    label[np.isin(label, label[near])] = label[i]
-        out = []
-        order = np.argsort(label, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-            if len(part) > 1 and len({own[k] for k in part}) > 1:
-                part = sorted(part.tolist(), key=lambda k: rep[k])
-                gid = xxhash.xxh64_intdigest(repr([(rep[k], bool(first[k])) for k in part] + [only[0]])) - (1 << 63)
-                out += [(gid, only[0], bool(first[k]), rep[k], own[k]) for k in part]
+                    new, at = np.unique(label[near], return_index=True)
+                    out += [(rep[i], rep[k]) for k in near[at].tolist()]
+                    label[np.isin(label, new)] = label[i]
         return out
 
+    return in_groups(groups.join(reps.select("rep", "low"), "rep"), ("gid", "only_first", "first", "rep", "label", "low"), pairs)
+
+
+def in_groups(rows: DataFrame, columns: tuple[str, ...], links) -> DataFrame:
+    """(a, b) that ``links`` finds among the rows of each group (columns, the first its number), any number of groups in a partition."""
+
     def run(batches):
         held: list[tuple] = []
-        kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
-        batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=list(_GROUP))
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
         for b in batches:
-            out = []
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (*_GROUP, "low")), strict=True):
-                if held and held[0][0] != row[0]:
-                    out += parts(held)
-                    held = []
-                held.append(row)
-            yield batch(out)
-        yield batch(parts(held))
+            for at in range(0, b.num_rows, 512):
+                part, out = b.slice(at, 512), []
+                for row in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
+                    if held and held[0][0] != row[0]:
+                        out += links(held)
+                        held = []
+                    held.append(row)
+                yield batch(out)
+        yield batch(links(held))
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*columns).repartition(n, columns[0]).sortWithinPartitions(columns[0]).mapInArrow(run, "a long, b long")
+
 
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.join(reps.select("rep", "low"), "rep").select(*_GROUP, "low").repartition(n, "gid").sortWithinPartitions("gid")
-    return dealt.mapInArrow(run, "gid long, only_first boolean, first boolean, rep long, label long").dropDuplicates(["gid", "rep"])
+def compare(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), confirmed on full sets, that join the labels of each group."""
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        _, only, first, rep, label, sig, items = zip(*rows, strict=True)
+        return resolve(np.array(rep), np.array(first, bool), np.array(label), np.frombuffer(b"".join(sig), np.uint32).reshape(-1, TOKENS), [np.frombuffer(x, np.uint64) for x in items], percent, only[0])
+
+    return in_groups(groups, ("gid", "only_first", "first", "rep", "label", "sig", "items"), pairs)
 
 
 def with_sets(groups: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -356,34 +340,60 @@ def with_sets(groups: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return groups.join(sets, "rep")
 
 
-def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: tuple[int, int] = TREES, small: int = SMALL, levels: int = LEVELS, chunk: int = CHUNK) -> DataFrame:
+def as_links(labels: DataFrame | None, *more: DataFrame) -> DataFrame:
+    """Labels and further links as one table of links."""
+    out = list(more) if labels is None else [labels.select(F.col("rep").alias("a"), F.col("label").alias("b")), *more]
+    every = out[0]
+    for x in out[1:]:
+        every = every.union(x)
+    return every
+
+
+def relabelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, rep, label) with each document's component, itself without one."""
+    if labels is None:
+        return rows.select("node", "rep", F.col("rep").alias("label"))
+    return rows.drop("label").join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
+
+
+def families(reps: DataFrame, trees: int, percent: int, small: int, levels: int, chunk: int) -> DataFrame | None:
+    """(rep, label): components of what the trees bring together and tokens may link. Links hold within them."""
+    nodes, large = tree_nodes(reps.withColumn("label", F.col("rep")), range(trees), percent / 100, small, levels)
+    groups = small_groups(nodes)
+    if large is None:
+        return components(likely(groups, reps, percent), reps.sparkSession)
+    labels = components(likely(groups.union(chunked(large, False, chunk)), reps, percent), reps.sparkSession)
+    again = likely(chunked(relabelled(large, labels), True, chunk), reps, percent)
+    return components(as_links(labels, again), reps.sparkSession)
+
+
+def linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int, trees: int, small: int, levels: int, chunk: int) -> DataFrame | None:
+    """(rep, label): components by confirmed links. A document's set is made and sent once for its family, not once a tree."""
+    family = families(reps, trees, percent, small, levels, 4 * chunk)
+    if family is None:
+        return None
+    family = family.select(F.col("label").alias("node"), "rep", F.col("rep").alias("label"))
+    big = stored(family.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("node"), "big")
+    if big.isEmpty():
+        return components(compare(with_sets(small_groups(family), docs, shingle), percent), reps.sparkSession)
+    large = family.join(big, "node")
+    groups = small_groups(family.join(big, "node", "left_anti")).union(chunked(large, False, chunk))
+    labels = components(compare(with_sets(groups, docs, shingle), percent), reps.sparkSession)
+    again = compare(with_sets(chunked(relabelled(large, labels), True, chunk), docs, shingle), percent)
+    return components(as_links(labels, again), reps.sparkSession)
+
+
+def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, chunk: int = CHUNK) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     sketch = stored(sketches(docs, shingle), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     own = full.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig", "low")).alias("r"))
     reps = stored(own.select("hi", "lo", "r.rep", "r.sig", "r.low"), "representatives")
-    now = reps.withColumn("label", F.col("rep"))
-    links, labels, before = None, None, None
-    done = 0
-    for n in trees:
-        nodes, large = tree_nodes(now, range(done, done + n), percent / 100, small, levels)
-        done += n
-        groups = small_groups(nodes)
-        if large is not None:
-            groups = groups.union(chunked(large, labels is not None, chunk))
-        if before is not None and labels is not None:
-            again = before.drop("label").join(now.select("rep", "label"), "rep").select("node", "rep", "label")
-            groups = groups.union(chunked(again, True, chunk))
-        found = compare(with_sets(likely(groups, reps, percent), docs, shingle), percent)
-        links = found if labels is None else found.union(labels.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-        before = large
-        newer = components(links, spark)
-        labels = newer if newer is not None else labels
-        if labels is not None:
-            now = stored(reps.join(labels, "rep", "left").select("hi", "lo", "rep", "sig", "low", F.coalesce("label", "rep").alias("label")), "labelled")
-    out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(now.select("hi", "lo", "label"), ["hi", "lo"], "left")
+    labels = linked(reps.select("rep", "sig", "low"), docs, shingle, percent, trees, small, levels, chunk)
+    own = reps.select("hi", "lo", "rep")
+    own = own.withColumn("label", F.col("rep")) if labels is None else own.join(labels, "rep", "left").select("hi", "lo", F.coalesce("label", "rep").alias("label"))
+    out = sketch.select("doc_id", "n_shingles", "hi", "lo").join(own.select("hi", "lo", "label"), ["hi", "lo"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("label"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
