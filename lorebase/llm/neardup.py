@@ -37,6 +37,10 @@ CHUNK = 1_000
 ONE_TASK_LINKS = 2_000_000
 #: A pair at the threshold meets at one level of a tree with a chance near it; all trees miss it once in many millions.
 TREES = 18
+#: The low bits of a node's number are its tree's.
+TREE_BITS = 31
+#: Trees whose large nodes are gone through again for what their pivots left apart.
+AGAIN_TREES = 5
 #: Broadcast of wanted ids: at most so many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -65,6 +69,11 @@ def minwise(s: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def keep_tree(node: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A child's number: mixed, but for the low bits, which number the tree."""
+    return (mix64(value) & ~np.uint64(TREE_BITS)) | (node & np.uint64(TREE_BITS))
+
+
 def choose(node: np.ndarray, sig: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child): the paths that leave each row's node, by the values of the tokens that the node picks."""
     rows = np.arange(len(node))
@@ -73,7 +82,7 @@ def choose(node: np.ndarray, sig: np.ndarray, similarity: float) -> tuple[np.nda
         p = node[rows]
         at = mix64(p + np.uint64(salt)) % np.uint64(TOKENS)
         value = sig[rows, at.astype(np.int64)].astype(np.uint64)
-        return mix64(p ^ mix64(value + (at << np.uint64(32)) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))))
+        return keep_tree(p, p ^ mix64(value + (at << np.uint64(32)) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))))
 
     more = rows[(mix64(node + np.uint64(97)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < 1 / similarity - 1]
     return np.concatenate([rows, more]), np.concatenate([step(1, rows), step(2, more)])
@@ -112,7 +121,7 @@ def branch(rows: DataFrame, similarity: float, trees: range | None = None) -> Da
             if trees is None:
                 starts = [b.column(b.schema.get_field_index("node")).to_numpy(zero_copy_only=False).view(np.uint64)]
             else:
-                starts = [mix64(np.full(len(rep), t + 1, np.uint64)) for t in trees]
+                starts = [keep_tree(np.full(len(rep), t, np.uint64), np.full(len(rep), t + 1, np.uint64)) for t in trees]
             for p in starts:
                 row, child = choose(p, sig, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), pa.array(label[row])], names=["node", "rep", "label"])
@@ -363,6 +372,7 @@ def families(reps: DataFrame, trees: int, percent: int, small: int, levels: int,
     if large is None:
         return components(likely(groups, reps, percent), reps.sparkSession)
     labels = components(likely(groups.union(chunked(large, False, chunk)), reps, percent), reps.sparkSession)
+    large = large.where(F.col("node").bitwiseAND(TREE_BITS) < AGAIN_TREES)
     again = likely(chunked(relabelled(large, labels), True, chunk), reps, percent)
     return components(as_links(labels, again), reps.sparkSession)
 
