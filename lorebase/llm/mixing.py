@@ -30,7 +30,7 @@ BLOCK_ROWS = 16
 PERIOD = 1000
 #: Sources laid out on the driver; each costs it a few rows a phase.
 MAX_SOURCES = 300
-BUCKET_ROWS = 4_096
+BUCKET_ROWS = 512
 
 
 def shares(weights: list[Fraction], period: int) -> list[int]:
