@@ -1 +1,109 @@
-"""Filled in below."""
+"""Conversion and splitting: CNV, SPL and SRC entries that run in Arrow functions or in plain text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import convert as ops
+from ..registry import query
+
+
+def html_pages(t):
+    return t.pages.select("page_id", "url", F.lit("text/html").alias("mime"), F.col("html").alias("body"))
+
+
+@query("cnv_02_html_pipeline")
+def _(t):
+    """Title, links and Markdown of every page; the conversion's cases are held in tests."""
+    return ops.converted(html_pages(t)).select("page_id", "title", F.size("links").cast("long").alias("n_links"), "markdown")
+
+
+@query("cnv_03_title", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
+def _(t):
+    return ops.converted(html_pages(t)).select("page_id", "title")
+
+
+@query("cnv_04_links")
+def _(t):
+    return ops.converted(html_pages(t)).select("page_id", F.explode("links").alias("link"))
+
+
+@query("cnv_08_markdown_title", r"SELECT doc_id, coalesce(nullif(regexp_extract(x, '(?m)^#\s+(.*)$', 1), ''), 'Untitled') AS title FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '' END || text AS x FROM documents)")
+def _(t):
+    x = F.concat(F.when(F.col("doc_id") % 2 == 0, "# ").otherwise(""), "text")
+    return t.documents.select("doc_id", F.coalesce(F.nullif(F.regexp_extract(x, r"(?m)^#\s+(.*)$", 1), F.lit("")), F.lit("Untitled")).alias("title"))
+
+
+@query("cnv_09_markdown_links", r"SELECT page_id, url || '#a' AS link FROM pages UNION ALL SELECT page_id, url || 'b' FROM pages")
+def _(t):
+    body = F.concat(F.lit("[a]("), "url", F.lit("#a) ![i](http://x/i.png) [b]("), "url", F.lit("b \"t\")"))
+    found = F.regexp_extract_all(body, F.lit(r"(?:^|[^!])\[[^\]]*\]\(([^\s)]+)"), 1)
+    return t.pages.select("page_id", F.explode(F.array_distinct(found)).alias("link"))
+
+
+@query("cnv_12_document_gate", "SELECT doc_id, n_chars <= 5000 AS admitted FROM documents")
+def _(t):
+    """The size gate before a document is extracted, with a small limit."""
+    return t.documents.select("doc_id", (F.length("text") <= 5000).alias("admitted"))
+
+
+@query("cnv_13_twin_choice", "SELECT split_part(url, '#', 1) AS page, arg_min(page_id, (NOT contains(url, '#'), page_id)) AS page_id FROM pages GROUP BY 1")
+def _(t):
+    """Of a page and its Markdown twin (here: the address with a fragment) the twin."""
+    return t.pages.groupBy(F.substring_index("url", "#", 1).alias("page")).agg(F.min_by("page_id", F.struct(~F.contains("url", F.lit("#")), "page_id")).alias("page_id"))
+
+
+def text_pages(t, kind="text"):
+    return t.documents.select(F.col("doc_id").alias("page_id"), F.lit(kind).alias("pipeline"), F.lit("").alias("language"), F.col("text").alias("markdown"))
+
+
+@query("spl_01_text_chunks")
+def _(t):
+    """Chunks of every document; that they stay within bounds and add up is held in tests."""
+    return ops.chunked(text_pages(t)).select("page_id", "sort_order", F.length("content").cast("long").alias("n"), F.md5("content").alias("content"))
+
+
+@query("spl_02_lossless", "SELECT doc_id AS page_id, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM documents WHERE length(trim(text)) > 0")
+def _(t):
+    """The chunks of a document hold all its characters but white space."""
+    x = ops.chunked(text_pages(t)).select("page_id", F.length(F.regexp_replace("content", r"\s", "")).cast("long").alias("n"))
+    return x.groupBy("page_id").agg(F.sum("n").alias("n"))
+
+
+@query("spl_05_markdown_chunks")
+def _(t):
+    return ops.chunked(ops.converted(html_pages(t))).select("page_id", "sort_order", F.array_join("types", ",").alias("types"), "level", F.array_join("path", " > ").alias("path"), F.md5("content").alias("content"))
+
+
+@query("spl_06_frontmatter", r"SELECT doc_id, regexp_matches(x, '^---\n[\s\S]*?[A-Za-z_]\w*:[\s\S]*?\n---') AS has FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) WHEN 1 THEN '---' || chr(10) ELSE '' END || substr(text, 1, 20) AS x FROM documents)")
+def _(t):
+    head = F.when(F.col("doc_id") % 3 == 0, "---\ntitle: x\n---\n").when(F.col("doc_id") % 3 == 1, "---\n").otherwise("")
+    x = F.concat(head, F.substring("text", 1, 20))
+    return t.documents.select("doc_id", x.rlike(r"^---\n[\s\S]*?[A-Za-z_]\w*:[\s\S]*?\n---").alias("has"))
+
+
+@query("spl_11_json_chunks", "SELECT event_id, 3::BIGINT AS n FROM events")
+def _(t):
+    """An object with one property: its two brackets and the property."""
+    x = t.events.select(F.col("event_id").alias("page_id"), F.lit("json").alias("pipeline"), F.lit("").alias("language"), F.col("props").alias("markdown"))
+    return ops.chunked(x).groupBy(F.col("page_id").alias("event_id")).agg(F.count("*").alias("n"))
+
+
+@query("spl_12_source_chunks", "SELECT doc_id AS page_id, 3::BIGINT AS n FROM documents")
+def _(t):
+    """An import, a class's head and its method, made for each document."""
+    body = F.concat(F.lit("import os\nclass C"), F.col("doc_id").cast("string"), F.lit(":\n    def f(self):\n        return 1\n"))
+    x = t.documents.select(F.col("doc_id").alias("page_id"), F.lit("source").alias("pipeline"), F.lit("python").alias("language"), body.alias("markdown"))
+    return ops.chunked(x).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("spl_15_openapi_chunks", "SELECT page_id, 2::BIGINT AS n FROM pages")
+def _(t):
+    body = F.concat(F.lit('{"openapi":"3.0.0","paths":{"/p'), F.col("page_id").cast("string"), F.lit('":{"get":{"summary":"s"},"post":{"summary":"t"}}}}'))
+    x = t.pages.select("page_id", F.lit("openapi").alias("pipeline"), F.lit("").alias("language"), body.alias("markdown"))
+    return ops.chunked(x).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("src_02_web_source", "SELECT page_id, 'html' AS pipeline FROM pages")
+def _(t):
+    return ops.converted(html_pages(t)).select("page_id", "pipeline")
