@@ -62,10 +62,10 @@ def _(t):
     return x.select("event_id", F.round(ranking.rrf("v", "f", 1.0, 2.0), 9).alias("score"))
 
 
-@query("mth_03_negate_and_clip", "SELECT event_id, CASE WHEN s IS NOT NULL THEN round(-least(s, 0), 6) END AS score FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value - 20 END AS s FROM events)")
+@query("mth_03_negate_and_clip", "SELECT event_id, CASE WHEN s IS NOT NULL THEN round(-least(s, 0), 6) + 0.0 END AS score FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value - 20 END AS s FROM events)")
 def _(t):
     s = F.when(F.col("event_id") % 5 != 0, F.col("value") - 20)
-    return t.events.select("event_id", F.when(s.isNotNull(), F.round(-F.least(s, F.lit(0.0)), 6)).alias("score"))
+    return t.events.select("event_id", F.when(s.isNotNull(), F.round(-F.least(s, F.lit(0.0)), 6) + F.lit(0.0)).alias("score"))
 
 
 @query("mth_06_relative_delta", """SELECT event_id, CASE WHEN b = 0 AND c = 0 THEN 'same' WHEN b = 0 THEN 'better' WHEN (c - b) / b > 0.05 THEN 'better' WHEN (c - b) / b < -0.05 THEN 'worse' ELSE 'same' END AS verdict FROM (SELECT event_id, (event_id % 7)::DOUBLE AS b, (event_id % 5)::DOUBLE AS c FROM events)""")
