@@ -56,3 +56,63 @@ def source_pages(files: DataFrame) -> DataFrame:
     kind = F.coalesce(mime.detect("path"), F.lit("application/octet-stream"))
     x = files.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), kind.alias("mime"), F.col("content").cast("string").alias("body"))
     return x.where(mime.is_safe_text("mime") & ~F.contains("body", F.lit("\0")))
+
+
+#: Splitters of one kind of text by name, for :func:`pieces`.
+SPLITTERS = {"text": split.split_text, "list": split.split_list, "table": split.split_table, "code": split.split_code, "recursive": split.recursive}
+
+
+def pieces(rows: DataFrame, kind: str, size: int) -> DataFrame:
+    """(id, pos, piece) of texts (id, body) by one splitter."""
+    f = SPLITTERS[kind]
+
+    def run(batches):
+        for b in batches:
+            out = [(i, n, p) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, p in enumerate(f(t or "", size))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["id", "pos", "piece"])
+
+    return rows.select("id", "body").mapInArrow(run, "id long, pos long, piece string")
+
+
+def boundaries(rows: DataFrame, language: str) -> DataFrame:
+    """(id, first, last, kind, name) of the declarations in sources (id, body)."""
+    f = split.python_boundaries if language == "python" else split.script_boundaries
+
+    def run(batches):
+        for b in batches:
+            out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in f(t or "")]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["id", "first", "last", "kind", "name"])
+
+    return rows.select("id", "body").mapInArrow(run, "id long, first long, last long, kind string, name string")
+
+
+def rewritten(rows: DataFrame, f) -> DataFrame:
+    """(id, text): a plain function over texts (id, body)."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t or "") for t in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
+
+    return rows.select("id", "body").mapInArrow(run, "id long, text string")
+
+
+def bisected(rows: DataFrame, most: int) -> DataFrame:
+    """(id, batch, size, failed) of texts (id, body) of one batch: a batch over the provider's size is halved until its parts fit; a single text that does not fails alone."""
+
+    def run(batches):
+        for b in batches:
+            items = [(i, len(t or "")) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            done, todo = [], [items]
+            while todo:
+                part = todo.pop()
+                if not part:
+                    continue
+                if len(part) > 1 and sum(n for _, n in part) > most:
+                    todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+                    continue
+                done += [(i, part[0][0], n, n > most) for i, n in part]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate(kinds)], names=["id", "batch", "size", "failed"])
+
+    return rows.select("id", "body").mapInArrow(run, "id long, batch long, size long, failed boolean")

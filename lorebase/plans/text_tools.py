@@ -107,3 +107,163 @@ def _(t):
 @query("src_02_web_source", "SELECT page_id, 'html' AS pipeline FROM pages")
 def _(t):
     return ops.converted(html_pages(t)).select("page_id", "pipeline")
+
+
+def made(t, body):
+    return t.documents.select(F.col("doc_id").alias("id"), body.alias("body"))
+
+
+_ID = F.col("doc_id").cast("string")
+
+
+@query("spl_03_greedy_merge", "SELECT doc_id AS page_id, 1::BIGINT AS n FROM documents")
+def _(t):
+    """Two short sections become one chunk."""
+    body = F.concat(F.lit("# A\none "), _ID, F.lit("\n\n# B\ntwo"))
+    x = t.documents.select(F.col("doc_id").alias("page_id"), F.lit("markdown").alias("pipeline"), F.lit("").alias("language"), body.alias("markdown"))
+    return ops.chunked(x).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("spl_04_section_merge", "SELECT doc_id AS page_id, 1::BIGINT AS level, 'A > B' AS path FROM documents")
+def _(t):
+    """A section and its child: the smaller level, the deeper path."""
+    body = F.concat(F.lit("# A\none "), _ID, F.lit("\n\n## B\ntwo"))
+    x = t.documents.select(F.col("doc_id").alias("page_id"), F.lit("markdown").alias("pipeline"), F.lit("").alias("language"), body.alias("markdown"))
+    return ops.chunked(x).select("page_id", "level", F.array_join("path", " > ").alias("path"))
+
+
+@query("spl_07_overlap", "SELECT doc_id AS id, sum(length(text))::BIGINT AS n FROM documents WHERE length(text) > 0 GROUP BY doc_id")
+def _(t):
+    """The last resort cuts with an overlap of twenty; less the overlaps the pieces are the text."""
+    x = ops.pieces(made(t, F.col("text")), "recursive", 1000).where("length(piece) > 0")
+    return x.groupBy("id").agg((F.sum(F.length("piece")) - 20 * (F.count("*") - 1)).cast("long").alias("n"))
+
+
+@query("spl_08_list", "SELECT doc_id AS id, 40::BIGINT AS items FROM documents")
+def _(t):
+    item = F.concat(F.lit("- item "), _ID, F.lit(" with some words\n"))
+    x = ops.pieces(made(t, F.rtrim(F.regexp_replace(F.repeat(item, 40), r"\n$", ""))), "list", 300)
+    return x.groupBy("id").agg(F.sum(F.regexp_count("piece", F.lit("(?m)^- "))).alias("items"))
+
+
+@query("spl_09_table", "SELECT doc_id AS id, 30::BIGINT AS data_rows, true AS headed FROM documents")
+def _(t):
+    body = F.concat(F.lit("| a | b |\n|---|---|\n"), F.repeat(F.concat(F.lit("| "), _ID, F.lit(" | cell |\n")), 30))
+    x = ops.pieces(made(t, body), "table", 200)
+    return x.groupBy("id").agg((F.sum(F.regexp_count("piece", F.lit(r"\| cell \|")))).alias("data_rows"), F.bool_and(F.col("piece").startswith("| a | b |\n|---|---|\n")).alias("headed"))
+
+
+@query("spl_10_code", "SELECT doc_id AS id, 50::BIGINT AS code_lines, true AS fenced FROM documents")
+def _(t):
+    body = F.concat(F.lit("```py\n"), F.repeat(F.concat(F.lit("x = "), _ID, F.lit("\n")), 50), F.lit("```"))
+    x = ops.pieces(made(t, body), "code", 120)
+    return x.groupBy("id").agg(F.sum(F.regexp_count("piece", F.lit("x = "))).alias("code_lines"), F.bool_and(F.col("piece").startswith("```py\n") & F.col("piece").endswith("\n```")).alias("fenced"))
+
+
+@query("spl_13_script_boundaries", "SELECT doc_id AS id, 'Foo' || doc_id AS name, 'structural' AS kind FROM documents UNION ALL SELECT doc_id, 'bar', 'content' FROM documents UNION ALL SELECT doc_id, 'baz', 'content' FROM documents")
+def _(t):
+    body = F.concat(F.lit("export class Foo"), _ID, F.lit(" {\n  bar(a: string): void {\n    const x = 1;\n  }\n}\n\nexport function baz() {\n  return `}`;\n}\n"))
+    return ops.boundaries(made(t, body), "typescript").select("id", "name", "kind")
+
+
+@query("spl_14_python_boundaries", "SELECT doc_id AS id, 'import' AS name, 'structural' AS kind FROM documents UNION ALL SELECT doc_id, 'C' || doc_id, 'structural' FROM documents UNION ALL SELECT doc_id, 'f', 'content' FROM documents")
+def _(t):
+    body = F.concat(F.lit("import os\n\nclass C"), _ID, F.lit(":\n    def f(self):\n        def g():\n            pass\n        return g\n"))
+    return ops.boundaries(made(t, body), "python").select("id", "name", "kind")
+
+
+@query("spl_16_openapi_references", "SELECT page_id, true AS resolved FROM pages")
+def _(t):
+    body = F.concat(F.lit('{"openapi":"3.0.0","paths":{"/p":{"get":{"x":{"$ref":"#/c/L"}}}},"c":{"L":{"id":'), F.col("page_id").cast("string"), F.lit("}}}"))
+    x = t.pages.select("page_id", F.lit("openapi").alias("pipeline"), F.lit("").alias("language"), body.alias("markdown"))
+    return ops.chunked(x).select("page_id", F.contains("content", F.concat(F.lit('"id": '), F.col("page_id").cast("string"))).alias("resolved"))
+
+
+@query("cnv_05_sanitise", "SELECT page_id, false AS script, false AS style FROM pages")
+def _(t):
+    """Neither scripts nor styles reach the Markdown."""
+    x = ops.converted(html_pages(t))
+    return x.select("page_id", F.contains("markdown", F.lit("track(")).alias("script"), F.contains("markdown", F.lit("margin:0")).alias("style"))
+
+
+@query("cnv_06_absolute_links", "SELECT page_id, true AS absolute FROM pages")
+def _(t):
+    body = F.concat(F.lit('<article><p>x <a href="/r'), F.col("page_id").cast("string"), F.lit('">y</a> <img src="i.png"></p></article>'))
+    x = ops.converted(t.pages.select("page_id", F.lit("https://e.com/d/p").alias("url"), F.lit("text/html").alias("mime"), body.alias("body")))
+    return x.select("page_id", (F.col("markdown") == F.concat(F.lit("x [y](https://e.com/r"), F.col("page_id").cast("string"), F.lit(") ![](https://e.com/d/i.png)"))).alias("absolute"))
+
+
+@query("cnv_07_html_to_markdown", "SELECT page_id, '# H' || page_id || chr(10) || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || '| x |' || chr(10) || '| --- |' || chr(10) || '| 1 |' AS markdown FROM pages")
+def _(t):
+    body = F.concat(F.lit("<main><h1>H"), F.col("page_id").cast("string"), F.lit("</h1><ul><li>a<li>b</ul><table><tr><th>x</th></tr><tr><td>1</td></tr></table></main>"))
+    x = ops.converted(t.pages.select("page_id", "url", F.lit("text/html").alias("mime"), body.alias("body")))
+    return x.select("page_id", "markdown")
+
+
+@query("cnv_10_embedded_images", "SELECT doc_id AS id, 'a pic ' || doc_id || ' b' AS text FROM documents")
+def _(t):
+    from ..functions import convert
+
+    return ops.rewritten(made(t, F.concat(F.lit("a ![pic "), _ID, F.lit("](data:image/png;base64,AAAA) b"))), convert.without_embedded_images)
+
+
+@query("cnv_11_passthrough", "SELECT event_id AS page_id, props AS markdown FROM events")
+def _(t):
+    x = ops.converted(t.events.select(F.col("event_id").alias("page_id"), F.lit("x.json").alias("url"), F.lit("application/json").alias("mime"), F.col("props").alias("body")))
+    return x.select("page_id", "markdown")
+
+
+@query("str_09_fence_state", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN '```py' ELSE '' END AS text FROM documents")
+def _(t):
+    """The fence that is still open at the end of a text."""
+    from ..functions import split
+
+    body = F.concat(F.lit("```\na\n```\n"), F.when(F.col("doc_id") % 2 == 0, "```py\nb").otherwise("c"))
+    return ops.rewritten(made(t, body), lambda x: split.open_fence(x) or "")
+
+
+@query("str_12_query_phrases", "SELECT doc_id AS id, 'a b' || doc_id || '|a|b' || doc_id AS text FROM documents")
+def _(t):
+    from ..functions import text
+
+    return ops.rewritten(made(t, F.concat(F.lit("a b"), _ID)), lambda x: "|".join(text.phrases(x)))
+
+
+@query("url_09_base_href", "SELECT page_id, 'https://b.com/x/r' || page_id AS link FROM pages")
+def _(t):
+    body = F.concat(F.lit('<base href="https://b.com/x/"><p><a href="r'), F.col("page_id").cast("string"), F.lit('">y</a>'))
+    x = ops.converted(t.pages.select("page_id", "url", F.lit("text/html").alias("mime"), body.alias("body")))
+    return x.select("page_id", F.explode("links").alias("link"))
+
+
+@query("sto_11_bisect", "SELECT doc_id AS id, length(text)::BIGINT AS size, length(text) > 20000 AS failed FROM documents")
+def _(t):
+    return ops.bisected(made(t, F.col("text")), 20_000).select("id", "size", "failed")
+
+
+@query("src_24_fetch_url", "SELECT page_id, true AS converted FROM pages WHERE page_id = 3")
+def _(t):
+    """One page to Markdown, nothing stored."""
+    return ops.converted(html_pages(t).where("page_id = 3")).select("page_id", (F.length("markdown") > 0).alias("converted"))
+
+
+@query("src_14_registry_page", "SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS url FROM pages WHERE NOT regexp_matches(url, '/([?#]|$)')")
+def _(t):
+    """Package registries are read as web pages whose query does not count."""
+    from ..functions import urls
+
+    return t.pages.where(~F.col("url").rlike(r"/(?:[?#]|$)")).select("page_id", urls.normalize("url", drop_query=True).alias("url"))
+
+
+@query("msc_10_exact_guard", "SELECT event_id, event_id % 2 = 0 OR event_id % 3 > 0 AS ok FROM events")
+def _(t):
+    """An exact request needs a version."""
+    exact, version = F.col("event_id") % 2 != 0, F.when(F.col("event_id") % 3 > 0, "1.0.0")
+    return t.events.select("event_id", (~exact | version.isNotNull()).alias("ok"))
+
+
+@query("flt_28_allowed_roots", "SELECT page_id, starts_with(p, '/en/') AND NOT contains(p, '..') AS allowed FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) AS p FROM pages)")
+def _(t):
+    """Whether a path lies in an allowed root and does not lead out of it."""
+    p = F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1)
+    return t.pages.select("page_id", (p.startswith("/en/") & ~F.contains(p, F.lit(".."))).alias("allowed"))
