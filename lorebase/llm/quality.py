@@ -153,7 +153,7 @@ def fit(offsets: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, held_out: bool = True) -> Machine:
-    """Fits on at most ``max_train`` labelled rows; with ``held_out``, on none whose crc32 of the id mod 3 is 1. The chosen labels, so many rows at most, are broadcast; the features of their documents come to the driver."""
+    """Fits on at most ``max_train`` labelled rows; with ``held_out``, on none whose crc32 of the id mod 3 is 1. The chosen labels, so many rows at most, are broadcast; one task fits on the features of their documents, and the model comes to the driver."""
     usable = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     if held_out:
         usable = usable.where(crc_mod("id", 3) != 1)
@@ -176,13 +176,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_tr
                     names=["id", "label", "f", "x"],
                 )
 
-    got = rows.mapInArrow(run, "id string, label int, f binary, x binary").toArrow()
-    found = sorted(zip(*(got.column(c).to_pylist() for c in ("id", "label", "f", "x")), strict=True))
-    if not found:
+    def learn(batches):
+        found = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True))
+        f = [np.frombuffer(r[2], np.int32) for r in found]
+        x = [np.frombuffer(r[3], np.float32) for r in found]
+        offsets = np.concatenate([[0], np.cumsum([len(a) for a in f])]).astype(np.int64)
+        m = fit(offsets, *(np.concatenate(a) if a else np.zeros(0, k) for a, k in ((f, np.int32), (x, np.float32))), np.array([float(r[1] > 0) for r in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias], pa.float64()), pa.array([m.weight.astype(np.float32).tobytes()], pa.binary()), pa.array([m.vector.astype(np.float32).tobytes()], pa.binary())], names=["bias", "weight", "vector"])
+
+    # one task fits, on rows whose number is bounded; what comes to the driver has the model's fixed size
+    made = rows.mapInArrow(run, "id string, label int, f binary, x binary").repartition(1).mapInArrow(learn, "bias double, weight binary, vector binary").first()
+    if made is None:  # no rows, no task
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    f = [np.frombuffer(r[2], np.int32).astype(np.int64) for r in found]
-    x = [np.frombuffer(r[3], np.float32).astype(np.float64) for r in found]
-    return fit(np.concatenate([[0], np.cumsum([len(a) for a in f])]), np.concatenate(f), np.concatenate(x), np.array([float(r[1] > 0) for r in found]))
+    return Machine(made["bias"], np.frombuffer(made["weight"], np.float32).astype(np.float64), np.frombuffer(made["vector"], np.float32).reshape(-1, RANK).astype(np.float64))
 
 
 def scored(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
