@@ -366,7 +366,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     spark = docs.sparkSession
     rows = stored(anchor_rows(docs, length, gram), "anchors")
     keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("piece").alias("p0"), F.max("piece").alias("p1"))
-    keys = keys.where("m > 1").select("key", (F.col("p0") != F.col("p1")).alias("mixed"))
+    # written, so that both sides of the join below have exchanges of their own, which skew handling can split at a hot key
+    keys = stored(keys.where("m > 1").select("key", (F.col("p0") != F.col("p1")).alias("mixed")), "keys")
     hot = stored(rows.join(keys, "key"), "repeated")
     mixed = hot.where("mixed")
     distinct = mixed.groupBy("key", "piece").agg(F.count("*").alias("m"), F.min(F.struct("rid", "first", "n")).alias("o"))
