@@ -42,7 +42,7 @@ TREE_BITS = 31
 #: Trees whose large nodes are gone through again for what their pivots left apart.
 AGAIN_TREES = 5
 #: Broadcast of wanted ids: at most so many rows (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 
 _MULTIPLIERS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -411,7 +411,9 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = T
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, **options) -> DataFrame:
     """The documents of docs that stay, one of each component, with their columns."""
-    gone = classes(docs, shingle, percent, **options).where("not kept").select("doc_id").distinct()
+    gone = stored(classes(docs, shingle, percent, **options).where("not kept").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:  # else texts cross a shuffle
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
