@@ -70,3 +70,38 @@ class Corpus:
         rows = self.chunks if have is None else self.chunks.join(have, "id", "left")
         pending = F.count("*") if have is None else F.count(F.when(F.col("has").isNull(), 1))
         return catalog.catalog(rows.groupBy("library", "version", "page_id").agg(F.count("*").alias("n"), pending.alias("pending")))
+
+    def stats(self, library: str, version: str) -> DataFrame:
+        """One row: pages, chunks, embedded chunks and chunks a page (null without pages)."""
+        own = self.scoped(library, version)
+        rows = own.withColumn("has", F.lit(None).cast("int")) if self.vectors is None else own.join(self.vectors.select("id", F.lit(1).alias("has")), "id", "left")
+        per = rows.groupBy("page_id").agg(F.count("*").alias("n"), F.count("has").alias("e"))
+        return per.agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.coalesce(F.sum("e"), F.lit(0)).alias("embedded"), F.try_divide(F.sum("n"), F.count("*")).alias("avg_chunks"))
+
+    def validate(self, library: str) -> list[str]:
+        """Empty if the library is there, else the three nearest names. Raises LookupError for an empty corpus."""
+        names = self.chunks.select(F.lower(F.trim("library")).alias("library")).distinct()
+        want = library.strip().lower()
+        near = names.select("library", (F.levenshtein("library", F.lit(want)) / F.greatest(F.length("library"), F.lit(len(want)))).alias("d"))
+        found = near.where("d <= 0.7").orderBy("d", "library").limit(3).collect()
+        if found and found[0]["d"] == 0:
+            return []
+        if not found and names.isEmpty():
+            raise LookupError("the corpus is empty")
+        return [r["library"] for r in found]
+
+    def removed(self, library: str, version: str | None = None) -> Corpus:
+        """The corpus without a version, or without a library; its next state, to be written by the caller."""
+        mine = F.lower(F.trim("library")) == library.strip().lower()
+        if version is not None:
+            mine = mine & (F.coalesce("version", F.lit("")) == version.strip().lower())
+        left = self.chunks.where(~mine)
+        keep = lambda t, k: None if t is None else t.join(left.select(k).distinct(), k, "left_semi")
+        return Corpus(left, keep(self.vectors, "id"), keep(self.pages, "page_id"))
+
+    def waiting(self, batch: int = 100) -> DataFrame:
+        """The oldest chunks without a vector."""
+        from .operators import ingest
+
+        have = self.vectors if self.vectors is not None else self.chunks.limit(0).select("id")
+        return ingest.backlog(self.chunks, have, batch)

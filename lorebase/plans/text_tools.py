@@ -113,13 +113,14 @@ def made(t, body):
     return t.documents.select(F.col("doc_id").alias("id"), body.alias("body"))
 
 
-_ID = F.col("doc_id").cast("string")
+def _id():
+    return F.col("doc_id").cast("string")
 
 
 @query("spl_03_greedy_merge", "SELECT doc_id AS page_id, 1::BIGINT AS n FROM documents")
 def _(t):
     """Two short sections become one chunk."""
-    body = F.concat(F.lit("# A\none "), _ID, F.lit("\n\n# B\ntwo"))
+    body = F.concat(F.lit("# A\none "), _id(), F.lit("\n\n# B\ntwo"))
     x = t.documents.select(F.col("doc_id").alias("page_id"), F.lit("markdown").alias("pipeline"), F.lit("").alias("language"), body.alias("markdown"))
     return ops.chunked(x).groupBy("page_id").agg(F.count("*").alias("n"))
 
@@ -127,7 +128,7 @@ def _(t):
 @query("spl_04_section_merge", "SELECT doc_id AS page_id, 1::BIGINT AS level, 'A > B' AS path FROM documents")
 def _(t):
     """A section and its child: the smaller level, the deeper path."""
-    body = F.concat(F.lit("# A\none "), _ID, F.lit("\n\n## B\ntwo"))
+    body = F.concat(F.lit("# A\none "), _id(), F.lit("\n\n## B\ntwo"))
     x = t.documents.select(F.col("doc_id").alias("page_id"), F.lit("markdown").alias("pipeline"), F.lit("").alias("language"), body.alias("markdown"))
     return ops.chunked(x).select("page_id", "level", F.array_join("path", " > ").alias("path"))
 
@@ -141,34 +142,34 @@ def _(t):
 
 @query("spl_08_list", "SELECT doc_id AS id, 40::BIGINT AS items FROM documents")
 def _(t):
-    item = F.concat(F.lit("- item "), _ID, F.lit(" with some words\n"))
+    item = F.concat(F.lit("- item "), _id(), F.lit(" with some words\n"))
     x = ops.pieces(made(t, F.rtrim(F.regexp_replace(F.repeat(item, 40), r"\n$", ""))), "list", 300)
     return x.groupBy("id").agg(F.sum(F.regexp_count("piece", F.lit("(?m)^- "))).alias("items"))
 
 
 @query("spl_09_table", "SELECT doc_id AS id, 30::BIGINT AS data_rows, true AS headed FROM documents")
 def _(t):
-    body = F.concat(F.lit("| a | b |\n|---|---|\n"), F.repeat(F.concat(F.lit("| "), _ID, F.lit(" | cell |\n")), 30))
+    body = F.concat(F.lit("| a | b |\n|---|---|\n"), F.repeat(F.concat(F.lit("| "), _id(), F.lit(" | cell |\n")), 30))
     x = ops.pieces(made(t, body), "table", 200)
     return x.groupBy("id").agg((F.sum(F.regexp_count("piece", F.lit(r"\| cell \|")))).alias("data_rows"), F.bool_and(F.col("piece").startswith("| a | b |\n|---|---|\n")).alias("headed"))
 
 
 @query("spl_10_code", "SELECT doc_id AS id, 50::BIGINT AS code_lines, true AS fenced FROM documents")
 def _(t):
-    body = F.concat(F.lit("```py\n"), F.repeat(F.concat(F.lit("x = "), _ID, F.lit("\n")), 50), F.lit("```"))
+    body = F.concat(F.lit("```py\n"), F.repeat(F.concat(F.lit("x = "), _id(), F.lit("\n")), 50), F.lit("```"))
     x = ops.pieces(made(t, body), "code", 120)
     return x.groupBy("id").agg(F.sum(F.regexp_count("piece", F.lit("x = "))).alias("code_lines"), F.bool_and(F.col("piece").startswith("```py\n") & F.col("piece").endswith("\n```")).alias("fenced"))
 
 
 @query("spl_13_script_boundaries", "SELECT doc_id AS id, 'Foo' || doc_id AS name, 'structural' AS kind FROM documents UNION ALL SELECT doc_id, 'bar', 'content' FROM documents UNION ALL SELECT doc_id, 'baz', 'content' FROM documents")
 def _(t):
-    body = F.concat(F.lit("export class Foo"), _ID, F.lit(" {\n  bar(a: string): void {\n    const x = 1;\n  }\n}\n\nexport function baz() {\n  return `}`;\n}\n"))
+    body = F.concat(F.lit("export class Foo"), _id(), F.lit(" {\n  bar(a: string): void {\n    const x = 1;\n  }\n}\n\nexport function baz() {\n  return `}`;\n}\n"))
     return ops.boundaries(made(t, body), "typescript").select("id", "name", "kind")
 
 
 @query("spl_14_python_boundaries", "SELECT doc_id AS id, 'import' AS name, 'structural' AS kind FROM documents UNION ALL SELECT doc_id, 'C' || doc_id, 'structural' FROM documents UNION ALL SELECT doc_id, 'f', 'content' FROM documents")
 def _(t):
-    body = F.concat(F.lit("import os\n\nclass C"), _ID, F.lit(":\n    def f(self):\n        def g():\n            pass\n        return g\n"))
+    body = F.concat(F.lit("import os\n\nclass C"), _id(), F.lit(":\n    def f(self):\n        def g():\n            pass\n        return g\n"))
     return ops.boundaries(made(t, body), "python").select("id", "name", "kind")
 
 
@@ -204,7 +205,7 @@ def _(t):
 def _(t):
     from ..functions import convert
 
-    return ops.rewritten(made(t, F.concat(F.lit("a ![pic "), _ID, F.lit("](data:image/png;base64,AAAA) b"))), convert.without_embedded_images)
+    return ops.rewritten(made(t, F.concat(F.lit("a ![pic "), _id(), F.lit("](data:image/png;base64,AAAA) b"))), convert.without_embedded_images)
 
 
 @query("cnv_11_passthrough", "SELECT event_id AS page_id, props AS markdown FROM events")
@@ -226,7 +227,7 @@ def _(t):
 def _(t):
     from ..functions import text
 
-    return ops.rewritten(made(t, F.concat(F.lit("a b"), _ID)), lambda x: "|".join(text.phrases(x)))
+    return ops.rewritten(made(t, F.concat(F.lit("a b"), _id())), lambda x: "|".join(text.phrases(x)))
 
 
 @query("url_09_base_href", "SELECT page_id, 'https://b.com/x/r' || page_id AS link FROM pages")

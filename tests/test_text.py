@@ -228,3 +228,42 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     hourly.processAllAvailable()
     hourly.stop()
     assert {tuple(r) for r in spark.table("hourly").collect()} == {tuple(r) for r in jobs.activity(events).collect()}
+
+
+def test_backlog_stream(spark, tmp_path):
+    from lorebase.streaming import backlog
+
+    rows = spark.createDataFrame([(i, "lib", 1, ["a"], f"text {i}") for i in range(5)], "id long, library string, page_id long, path array<string>, content string")
+    rows.write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def flaky(df, n):
+        calls.append(n)
+        if len(calls) == 1:
+            raise OSError("busy")
+        return backlog.hashed(df, n)
+
+    for _ in range(2):  # the second run finds nothing new
+        backlog.start(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"), 64, flaky).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5 and len(calls) == 2
+    assert [backlog.backoff(n) for n in (0, 1, 2, 30)] == [0, 1000, 2000, 600000] and backlog.backoff(1, 5000) == 5000
+
+
+def test_api(spark):
+    from lorebase.api import Corpus
+
+    rows = [(1, 1, "lib", "1.0.0", 0, "needle one", ["a"], ["text"]), (2, 1, "lib", "1.0.0", 1, "two", ["a"], ["text"]), (3, 2, "lib", "2.0.0", 0, "needle three", ["a"], ["text"]), (4, 3, "other", "", 0, "needle four", ["a"], ["text"])]
+    chunks = spark.createDataFrame(rows, "id long, page_id long, library string, version string, sort_order long, content string, path array<string>, types array<string>")
+    c = Corpus(chunks, spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>"))
+    assert c.find_version("LIB ", "1.x") == ("1.0.0", False)
+    assert [r["content"] for r in c.search("needle", "lib").collect()] == ["needle three"]
+    assert [r["content"] for r in c.search("needle", "lib", "1.0.0", exact=True).collect()] == ["needle one\n\ntwo"]
+    assert {r["page_id"] for r in c.grep("needle").collect()} == {1, 2, 3} and c.read_page(1).first()["content"] == "needle one\n\ntwo"
+    assert c.stats("lib", "1.0.0").first().asDict() == {"pages": 1, "chunks": 2, "embedded": 1, "avg_chunks": 2.0} and c.stats("x", "").first()["avg_chunks"] is None
+    assert c.validate("lib") == [] and c.validate("lob") == ["lib"]
+    assert c.removed("lib", "1.0.0").chunks.count() == 2 and c.removed("lib").chunks.count() == 1
+    assert [r["id"] for r in c.waiting(2).collect()] == [2, 3] and c.catalog().count() == 3 and c.list_chunks("lib", "1.0.0", "TWO").first()["id"] == 2
+    with pytest.raises(ValueError):
+        c.search("x", exact=True)
+    with pytest.raises(LookupError):
+        Corpus(chunks.where("version = '2.0.0'")).search("x", "lib", "1.0")
