@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     if clash:
         raise ValueError(f"there are columns {sorted(clash)}")
     spark = docs.sparkSession
-    sizes = docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n"))
+    sizes = docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).withColumn("t", F.col("s").cast("string"))
     found = sizes.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group small ones first")
@@ -125,9 +125,11 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     else:
         other = min(weights.values(), default=1) if default is None else default
         w = [Fraction(weights.get(s, other)).limit_denominator(10**9) for s in names]
+    # a source's key is never null: joins and windows on it then share one partitioning, so rows are shuffled once
+    key_of = F.concat(F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    names = ["0" if s is None else f"1{r['t']}" for s, r in zip(names, found, strict=True)]
+    schema = lambda *more: T.StructType([T.StructField("_s", T.StringType()), *[T.StructField(x, T.LongType()) for x in more]])
     ranges, places = slots(layout(blocks, w, period), names)
-    kind = docs.schema[source_col].dataType
-    schema = lambda *more: T.StructType([T.StructField("_s", kind), *[T.StructField(x, T.LongType()) for x in more]])
     # rows of these: at most four a source and phase, and twice ``period`` a phase
     ranges = spark.createDataFrame(ranges, schema("_phase", "_lo", "_hi", "_start", "_part", "_period"))
     places = spark.createDataFrame(places, schema("_phase", "_r", "_offset"))
@@ -135,19 +137,19 @@ def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source"
     # extra columns only travel with their row; the number is found from source and id
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
     whole = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
-    rows = docs.select("*", F.col(source_col).alias("_s"), order.alias("_o"), whole.alias("_w"))
+    rows = docs.select("*", key_of.alias("_s"), order.alias("_o"), whole.alias("_w"))
     # order by unsigned hash: the bucket is its upper part
     rows = rows.withColumn("_b", F.floor((F.col("_o").cast("double") + 2.0**63) / 2.0**64 * n_buckets))
     per = rows.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
     before = per.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b", "_before")
     within = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_o", F.col(id_col), "_w")) - 1
     rows = rows.withColumn("_i", within)
-    rows = rows.alias("x").join(before.alias("y"), F.col("x._s").eqNullSafe(F.col("y._s")) & (F.col("x._b") == F.col("y._b"))).select("x.*", (F.col("x._i") + F.col("y._before")).alias("_k"))
+    rows = rows.join(before, ["_s", "_b"]).withColumn("_k", F.col("_i") + F.col("_before"))
     rows = rows.withColumn("_block", F.floor(F.col("_k") / block_rows).cast("long"))
-    rows = rows.alias("x").join(F.broadcast(ranges).alias("y"), F.col("x._s").eqNullSafe(F.col("y._s")) & (F.col("x._block") >= F.col("y._lo")) & (F.col("x._block") < F.col("y._hi")))
+    rows = rows.alias("x").join(F.broadcast(ranges).alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._block") >= F.col("y._lo")) & (F.col("x._block") < F.col("y._hi")))
     rows = rows.select("x.*", "y._phase", "y._start", "y._period", "y._part", (F.col("_block") - F.col("_lo")).alias("_n"))
     rows = rows.withColumn("_r", F.col("_n") % F.col("_part")).withColumn("_q", F.floor(F.col("_n") / F.col("_part")))
-    rows = rows.alias("x").join(F.broadcast(places).alias("y"), F.col("x._s").eqNullSafe(F.col("y._s")) & (F.col("x._phase") == F.col("y._phase")) & (F.col("x._r") == F.col("y._r")))
+    rows = rows.alias("x").join(F.broadcast(places).alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._phase") == F.col("y._phase")) & (F.col("x._r") == F.col("y._r")))
     slot = F.col("_start") + F.col("_q") * F.col("_period") + F.col("_offset")
     return rows.select(*[F.col(f"x.`{c}`") for c in docs.columns], F.col("_block").alias("mix_block"), slot.cast("long").alias("mix_slot"), (slot * block_rows + F.col("_k") % block_rows).cast("long").alias("mix_position"))
 
