@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,19 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def text_parts(batch: pa.RecordBatch, limit: int, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch of about ``limit`` bytes of text each, with the texts as bytes: only a slice's are Python objects at a time."""
+    col = batch.column(batch.schema.get_field_index(name))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + limit, "right")))
+        part = batch.slice(i, j - i)
+        yield part, column_bytes(part, name)
+        i = j
+
+
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, blocks, column_bytes, record_batch
+from .common import alnum_words, blocks, column_bytes, record_batch, text_parts
 
 WINDOW = 10
 SHARD_BYTES = 8_000_000
@@ -306,12 +306,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     def run(batches):
         groups = [alike(b.value) for b in sent]
         for batch in batches:
-            texts = column_bytes(batch)
-            keep = []
-            for i, j in blocks(texts, options.get("shard_bytes", SHARD_BYTES)):
-                many = [shard_hits(texts[i:j], b.value, g) for b, g in zip(sent, groups, strict=True)]
-                keep += [not any(x[1] for x in per) for per in zip(*many, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part, texts in text_parts(batch, options.get("shard_bytes", SHARD_BYTES)):
+                many = [shard_hits(texts, b.value, g) for b, g in zip(sent, groups, strict=True)]
+                yield part.filter(pa.array([not any(x[1] for x in per) for per in zip(*many, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

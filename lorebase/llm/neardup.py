@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, blocks, column_bytes, mix64, space_words, stored
+from .common import WordHash, mix64, space_words, stored, text_parts
 
 TOKENS = 64
 SMALL = 256
@@ -96,15 +96,16 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
         hashes = WordHash()
         for b in batches:
             size, hi, lo, sig, low = [], [], [], [], []
-            for t in column_bytes(b):
-                s = shingle_set(t, n, hashes)
-                key = xxhash.xxh128_intdigest(s.tobytes())
-                size.append(len(s))
-                hi.append((key >> 64) - (1 << 63))
-                lo.append((key & ((1 << 64) - 1)) - (1 << 63))
-                tokens = minwise(s) if len(s) else None
-                sig.append(None if tokens is None else tokens.tobytes())
-                low.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
+            for _, texts in text_parts(b, 4_000_000):
+                for t in texts:
+                    s = shingle_set(t, n, hashes)
+                    key = xxhash.xxh128_intdigest(s.tobytes())
+                    size.append(len(s))
+                    hi.append((key >> 64) - (1 << 63))
+                    lo.append((key & ((1 << 64) - 1)) - (1 << 63))
+                    tokens = minwise(s) if len(s) else None
+                    sig.append(None if tokens is None else tokens.tobytes())
+                    low.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
             ids = b.column(b.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "sig", "low"])
 
@@ -340,10 +341,9 @@ def with_sets(groups: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches):
         hashes = WordHash()
         for b in batches:
-            raw, rep = column_bytes(b), b.column(b.schema.get_field_index("rep"))
-            for i, j in blocks(raw, 4_000_000):
-                sets = [shingle_set(t, shingle, hashes) for t in raw[i:j]]
-                yield pa.RecordBatch.from_arrays([rep.slice(i, j - i), pa.array([minwise(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "sig", "items"])
+            for part, raw in text_parts(b, 2_000_000):
+                sets = [shingle_set(t, shingle, hashes) for t in raw]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("rep")), pa.array([minwise(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "sig", "items"])
 
     sets = texts.mapInArrow(run, "rep long, sig binary, items binary").where(F.length("items") > 0)
     return groups.join(sets, "rep")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, blocks, column_bytes, crc_mod
+from .common import WordHash, crc_mod, text_parts
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -35,6 +35,8 @@ MAX_TRAIN = 12_000
 STATS = 14
 BINS = 24
 STAT_WEIGHT = 0.35
+#: Text worked on at once.
+PART_BYTES = 3_000_000
 
 
 def statistics(text: bytes, words: list[bytes], stored_length: int | None) -> list[float]:
@@ -164,15 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_tr
     def run(batches):
         hashes = WordHash()
         for b in batches:
-            texts = column_bytes(b)
-            lens = b.column(b.schema.get_field_index("n")).to_pylist()
-            ids = b.column(b.schema.get_field_index("id")).cast(pa.string()).to_pylist()
-            label = b.column(b.schema.get_field_index("label")).to_pylist()
-            for i, j in blocks(texts, 4_000_000):
-                off, feature, value = features(texts[i:j], lens[i:j], hashes)
+            for part, texts in text_parts(b, PART_BYTES):
+                col = lambda c, p=part: p.column(p.schema.get_field_index(c))
+                off, feature, value = features(texts, col("n").to_pylist(), hashes)
                 cut = list(zip(off[:-1], off[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j]), pa.array(label[i:j], pa.int32()), pa.array([feature[a:z].astype(np.int32).tobytes() for a, z in cut], pa.binary()), pa.array([value[a:z].astype(np.float32).tobytes() for a, z in cut], pa.binary())],
+                    [col("id").cast(pa.string()), col("label"), pa.array([feature[a:z].astype(np.int32).tobytes() for a, z in cut], pa.binary()), pa.array([value[a:z].astype(np.float32).tobytes() for a, z in cut], pa.binary())],
                     names=["id", "label", "f", "x"],
                 )
 
@@ -199,12 +198,9 @@ def scored(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
     def run(batches):
         hashes = WordHash()
         for b in batches:
-            texts = column_bytes(b)
-            lens = b.column(b.schema.get_field_index("n_chars")).to_pylist() if lengths else [None] * len(texts)
-            scores = []
-            for i, j in blocks(texts, 4_000_000):
-                scores.append(sigmoid(sent.value.raw(*features(texts[i:j], lens[i:j], hashes))))
-            yield b.append_column(out, pa.array(np.concatenate(scores) if scores else np.zeros(0)))
+            for part, texts in text_parts(b, PART_BYTES):
+                lens = part.column(part.schema.get_field_index("n_chars")).to_pylist() if lengths else [None] * len(texts)
+                yield part.append_column(out, pa.array(sigmoid(sent.value.raw(*features(texts, lens, hashes)))))
 
     if out in docs.columns:
         raise ValueError(f"there is a column {out}")

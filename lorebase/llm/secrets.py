@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, record_batch
+from .common import column_bytes, record_batch, text_parts
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -121,8 +121,10 @@ def redact(docs: DataFrame, text_col: str = "text", max_ratio: float = 1.9, toke
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts = [None if t is None else redacted(t, spans_of(t, max_ratio, tokenizer)).decode("utf-8", "replace") for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, type=b.schema.field(at).type))
+            for part, texts in text_parts(b, 4_000_000, text_col):
+                null = part.column(at).is_null().to_pylist()
+                new = [None if z else redacted(t, spans_of(t, max_ratio, tokenizer)).decode("utf-8", "replace") for t, z in zip(texts, null, strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, type=part.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
 
