@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
+#: Fixed value: the largest candidate window.
+MOST = 4096
 
 
 def rrf(vec_rank: str, fts_rank: str, weight_vec: float = 1.0, weight_fts: float = 1.0, k: int = RRF_K) -> Column:
@@ -30,6 +32,6 @@ def within_budget(rows: DataFrame, keys: list[str], order: str, size: str, budge
     return rows.withColumn("_sum", F.sum(size).over(w)).withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where((F.col("_sum") <= budget) | (F.col("_nth") == 1)).drop("_sum", "_nth")
 
 
-def candidate_window(limit: int, overfetch: float = 2, multiplier: int = 10, most: int = 4096) -> int:
+def candidate_window(limit: int, overfetch: float = 2, multiplier: int = 10, most: int = MOST) -> int:
     """How many candidates each channel gives."""
     return min(most, max(1, -(-int(limit * max(1, overfetch)) // 1)) * multiplier)

@@ -115,9 +115,16 @@ def hybrid(docs: DataFrame, vecs: DataFrame | None, query: str, probe, limit: in
 
 def with_context(hits: DataFrame, chunks: DataFrame, gap: int = 3, limit: int = 10, separator: str = "\n\n") -> DataFrame:
     """(page_id, content, score): hits of a page closer than ``gap`` form one result with their context in reading order; a cluster scores as its best hit; of results with one text the best stays."""
-    own = chunks.join(F.broadcast(hits.select("id", "score")), "id").select("id", "page_id", "sort_order", "score")  # at most the search limit
-    own = context.clusters(own, ["page_id"], "sort_order", gap)
-    pages = chunks.join(F.broadcast(own.select("page_id").distinct()), "page_id", "left_semi")
+    # the hits are few (the candidate window bounds them): as literals they prune the scans of their pages
+    spark = chunks.sparkSession
+    found = {r["id"]: r["score"] for r in hits.select("id", "score").limit(ranking.MOST + 1).collect()}
+    if len(found) > ranking.MOST:
+        raise ValueError("more hits than a candidate window holds")
+    where = chunks.where(F.col("id").isin(list(found))).select("id", "page_id", "sort_order").collect()
+    columns = [pa.array([r[c] for r in where], pa.int64()) for c in ("id", "page_id", "sort_order")]
+    table = pa.table([*columns, pa.array([float(found[r["id"]]) for r in where], pa.float64())], names=["id", "page_id", "sort_order", "score"])
+    own = context.clusters(spark.createDataFrame(table), ["page_id"], "sort_order", gap)
+    pages = chunks.where(F.col("page_id").isin(sorted({r["page_id"] for r in where})))
     around = context.expanded(own.select("id", "page_id"), pages)
     member = around.join(own.select(F.col("id").alias("hit"), "page_id", "cluster"), "hit").select("page_id", "cluster", "id").distinct()
     body = context.assembled(member.join(pages.select("id", "sort_order", "content"), "id"), ["page_id", "cluster"], separator)
