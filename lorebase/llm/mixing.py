@@ -6,9 +6,10 @@ released at slot floor(k / w) and due before slot ceil((k + 1) / w); of the rele
 or less. When a source has no block left, the others go on by their weights among themselves (a new phase, counted from
 its own start), until every row has its place: none is dropped, none comes twice.
 
-Weights are multiples of 1 / ``period``; a phase's schedule repeats after that many slots, so the driver lays out one
-period and a last part of one for each phase, at most twice ``period`` slots a phase, from the sources' row counts alone. Rows find
-their slots by their numbers within the source, which are summed up from counts of hash buckets: no source is sorted in one place.
+Weights are exact: they become whole numbers over their common denominator, and releases and deadlines are counted in
+those over the whole of a phase, however long. One task lays the schedule out from the sources' row counts, a block at a
+time, and holds a few numbers a source. Rows find their slots by their numbers within the source, which are summed up
+from counts of hash buckets: no source is sorted in one place.
 
 Defined cases: a null source is a source of its own, named by null; a source without a target weight has the default
 weight; a weight of 0 puts the source after all others; rows are ordered within a source by a hash of the id, then the
@@ -18,140 +19,142 @@ id, then a hash of the row, so the order is settled up to equal rows; an empty t
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import stored
 
 BLOCK_ROWS = 16
-PERIOD = 1000
-#: Sources laid out on the driver; each costs it a few rows a phase.
+#: Sources that one schedule takes.
 MAX_SOURCES = 300
 BUCKET_ROWS = 512
 
 
-def shares(weights: list[Fraction], period: int) -> list[int]:
-    """Whole numbers that add up to ``period``, each at least 1 and else nearest to the weights (largest remainders)."""
-    period = max(period, len(weights))
-    total = sum(weights)
-    exact = [w * (period - len(weights)) / total for w in weights]
-    out = [1 + int(x) for x in exact]
-    for i in sorted(range(len(out)), key=lambda i: (int(exact[i]) - exact[i], i))[: period - sum(out)]:
-        out[i] += 1
-    return out
+def whole(weights: list[Fraction]) -> list[int]:
+    """The weights as whole numbers in the same proportions."""
+    den = math.lcm(*(w.denominator for w in weights))
+    out = [w.numerator * (den // w.denominator) for w in weights]
+    part = math.gcd(*out) or 1
+    return [x // part for x in out]
 
 
-def earliest_deadlines(parts: list[int], left: list[int]) -> list[int]:
-    """Sources by slot, of one period of sum(parts) slots, or until a source that is due has none of ``left`` blocks."""
-    period = sum(parts)
-    ready: list[tuple[int, int, int]] = []
-    later = [(0, i) for i in range(len(parts))]
-    heapq.heapify(later)
-    used, out = [0] * len(parts), []
-    for slot in range(period):
+def earliest_deadlines(parts: list[int], left: list[int]) -> Iterator[int]:
+    """Sources by slot, until a source whose turn it is has none of ``left`` blocks. Weights are parts / sum(parts)."""
+    total = sum(parts)
+    ready = [(-(-total // p), -p, i) for i, p in enumerate(parts)]
+    heapq.heapify(ready)
+    later: list[tuple[int, int]] = []
+    used, slot = [0] * len(parts), 0
+    while True:
         while later and later[0][0] <= slot:
             _, i = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(used[i] + 1) * period // parts[i]), -parts[i], i))
+            heapq.heappush(ready, (-(-(used[i] + 1) * total // parts[i]), -parts[i], i))
         _, _, i = heapq.heappop(ready)
         if used[i] == left[i]:
-            break
+            return
         used[i] += 1
-        out.append(i)
-        if used[i] < parts[i]:
-            heapq.heappush(later, (used[i] * period // parts[i], i))
+        yield i
+        heapq.heappush(later, (used[i] * total // parts[i], i))
+        slot += 1
+
+
+def phases(counts: list[int], weights: list[Fraction]) -> Iterator[tuple[dict[int, int], Iterator[int]]]:
+    """(parts by source, sources by slot) of each phase; a phase is to be read to its end before the next."""
+    left, every = list(counts), whole(weights)
+
+    def run(live: list[int], parts: list[int]) -> Iterator[int]:
+        for k in earliest_deadlines(parts, [left[i] for i in live]):
+            left[live[k]] -= 1
+            yield live[k]
+
+    live = [i for i, n in enumerate(left) if n]
+    while live:
+        now = [i for i in live if every[i] > 0]
+        parts = [every[i] for i in now] if now else [1] * len(live)
+        now = now or live
+        yield dict(zip(now, parts, strict=True)), run(now, parts)
+        live = [i for i in live if left[i]]
+
+
+def layout(counts: list[int], weights: list[Fraction], period: int | None = None) -> list[dict]:
+    """The phases as lists: start (slot), first (block number by source), periods, parts, cycle, rest (sources by slot). Weights are exact, so ``period`` rounds nothing: the parts' sum is the period, and a phase is one part of it or more, all in ``rest``."""
+    first, start, out = [0] * len(counts), 0, []
+    for parts, order in phases(counts, weights):
+        out.append({"start": start, "first": {i: first[i] for i in parts}, "periods": 0, "parts": parts, "cycle": [], "rest": list(order)})
+        start += len(out[-1]["rest"])
+        for i in out[-1]["rest"]:
+            first[i] += 1
     return out
 
 
-def layout(counts: list[int], weights: list[Fraction], period: int) -> list[dict]:
-    """Phases: start (slot), first (block number by source), periods, parts, cycle (sources by slot), rest (sources by slot of the last part)."""
-    left, first, start, out = list(counts), [0] * len(counts), 0, []
-    while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        positive = [i for i in live if weights[i] > 0]
-        live = positive or live
-        parts = shares([weights[i] if positive else Fraction(1) for i in live], period)
-        have = [left[i] for i in live]
-        periods = min(n // p for n, p in zip(have, parts, strict=True))
-        cycle = earliest_deadlines(parts, parts) if periods else []
-        have = [n - periods * p for n, p in zip(have, parts, strict=True)]
-        rest = earliest_deadlines(parts, have)
-        out.append({"start": start, "first": {i: first[i] for i in live}, "periods": periods, "parts": dict(zip(live, parts, strict=True)), "cycle": [live[i] for i in cycle], "rest": [live[i] for i in rest]})
-        start += periods * sum(parts) + len(rest)
-        for k, i in enumerate(live):
-            took = periods * parts[k] + rest.count(k)
-            first[i] += took
-            left[i] -= took
-    return out
+def slots(sizes: DataFrame, weights: dict | None, block_rows: int, exponent: float, default: float | None) -> DataFrame:
+    """(_s, _block, _slot) of every block, from (s, key, n) of the sources."""
+
+    def run(batches):
+        found = [row for b in batches for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("s", "key", "n")), strict=True)]
+        found.sort(key=lambda r: (r[0] is None, str(r[0])))
+        if weights is None:
+            w = [Fraction(n**exponent) for _, _, n in found]
+        else:
+            other = min(weights.values(), default=1) if default is None else default
+            # decimal fractions are meant, not the nearest binary ones
+            w = [Fraction(weights.get(s, other)).limit_denominator(10**9) for s, _, _ in found]
+        w = [max(x, Fraction(0)) for x in w]
+        keys, next_block, held, slot = [r[1] for r in found], [0] * len(found), [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in held], pa.string()), pa.array([k for _, k in held], pa.int64()), pa.array(range(slot - len(held), slot), pa.int64())], names=["_s", "_block", "_slot"])
 
+        for _, order in phases([-(-n // block_rows) for _, _, n in found], w):
+            for i in order:
+                held.append((i, next_block[i]))
+                next_block[i] += 1
+                slot += 1
+                if len(held) == 8192:
+                    yield batch()
+                    held.clear()
+        yield batch()
 
-def slots(phases: list[dict], names: list) -> tuple[list[tuple], list[tuple]]:
-    """Rows for the joins: (source, phase, lo, hi, first, base, part, period) block ranges and (source, phase, repeating, r, offset)."""
-    ranges, places = [], []
-    for ph, x in enumerate(phases):
-        period = sum(x["parts"].values())
-        for i, p in x["parts"].items():
-            lo, mid = x["first"][i], x["first"][i] + x["periods"] * p
-            hi = mid + x["rest"].count(i)
-            if mid > lo:
-                ranges.append((names[i], 2 * ph, lo, mid, x["start"], p, period))
-            if hi > mid:
-                ranges.append((names[i], 2 * ph + 1, mid, hi, x["start"] + x["periods"] * period, hi - mid, period))
-        for half, order in enumerate((x["cycle"], x["rest"])):
-            seen: dict[int, int] = {}
-            for slot, i in enumerate(order):
-                places.append((names[i], 2 * ph + half, seen.get(i, 0), slot))
-                seen[i] = seen.get(i, 0) + 1
-    return ranges, places
-
-
-def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, exponent: float = 0.7, default: float | None = None) -> DataFrame:
-    """docs with ``mix_block`` (of the source), ``mix_slot`` and ``mix_position`` (slot, then row in the block; last blocks may be short). Without weights a source's is its rows to the power ``exponent``."""
+    return sizes.coalesce(1).mapInArrow(run, "_s string, _block long, _slot long")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, exponent: float = 0.7, default: float | None = None) -> DataFrame:
+    """docs with ``mix_block`` (of the source), ``mix_slot`` and ``mix_position`` (slot, then row in the block; last blocks may be short). Without weights a source's is its rows to the power ``exponent``. Weights are exact, ``period`` rounds nothing."""
     clash = {"mix_block", "mix_slot", "mix_position"} & set(docs.columns)
     if clash:
         raise ValueError(f"there are columns {sorted(clash)}")
-    spark = docs.sparkSession
-    sizes = docs.groupBy(F.col(source_col).alias("s")).agg(F.count("*").alias("n")).withColumn("t", F.col("s").cast("string"))
-    found = sizes.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group small ones first")
-    found.sort(key=lambda r: (r["s"] is None, str(r["s"])))
-    names, counts = [r["s"] for r in found], [r["n"] for r in found]
-    blocks = [-(-n // block_rows) for n in counts]
-    if weights is None:
-        w = [Fraction(n**exponent).limit_denominator(10**6) for n in counts]
-    else:
-        other = min(weights.values(), default=1) if default is None else default
-        w = [Fraction(weights.get(s, other)).limit_denominator(10**9) for s in names]
     # a source's key is never null: joins and windows on it then share one partitioning, so rows are shuffled once
     key_of = F.concat(F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    names = ["0" if s is None else f"1{r['t']}" for s, r in zip(names, found, strict=True)]
-    schema = lambda *more: T.StructType([T.StructField("_s", T.StringType()), *[T.StructField(x, T.LongType()) for x in more]])
-    ranges, places = slots(layout(blocks, w, period), names)
-    # rows of these: at most four a source and phase, and twice ``period`` a phase
-    ranges = spark.createDataFrame(ranges, schema("_phase", "_lo", "_hi", "_start", "_part", "_period"))
-    places = spark.createDataFrame(places, schema("_phase", "_r", "_offset"))
-    n_buckets = max(1, -(-max(counts, default=0) // BUCKET_ROWS))
+    sizes = stored(docs.groupBy(F.col(source_col).alias("s"), key_of.alias("key")).agg(F.count("*").alias("n")), "sources")
+    n_sources, largest = sizes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    if n_sources > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group small ones first")
+    n_buckets = max(1, -(-largest // BUCKET_ROWS))
     # extra columns only travel with their row; the number is found from source and id
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
-    whole = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
-    rows = docs.select("*", key_of.alias("_s"), order.alias("_o"), whole.alias("_w"))
+    all_of = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
+    rows = docs.select("*", key_of.alias("_s"), order.alias("_o"), all_of.alias("_w"))
     # order by unsigned hash: the bucket is its upper part
     rows = rows.withColumn("_b", F.floor((F.col("_o").cast("double") + 2.0**63) / 2.0**64 * n_buckets))
     per = rows.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_s", "_b", "_before")
+    before = per.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a bucket's slots, in the order of its blocks, come to its rows with its first number
+    block = lambda number: F.floor(number / block_rows).cast("long")
+    held = before.select("_s", "_b", "_before", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_c") - 1))).alias("_block"))
+    # the planner takes the slots for as few as the sources, and would broadcast them
+    held = held.join(slots(sizes, weights, block_rows, exponent, default).hint("merge"), ["_s", "_block"])
+    held = held.groupBy("_s", "_b").agg(F.min("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_block", "_slot"))).alias("_slots"))
     within = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_o", F.col(id_col), "_w")) - 1
-    rows = rows.withColumn("_i", within)
-    rows = rows.join(before, ["_s", "_b"]).withColumn("_k", F.col("_i") + F.col("_before"))
-    rows = rows.withColumn("_block", F.floor(F.col("_k") / block_rows).cast("long"))
-    rows = rows.alias("x").join(F.broadcast(ranges).alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._block") >= F.col("y._lo")) & (F.col("x._block") < F.col("y._hi")))
-    rows = rows.select("x.*", "y._phase", "y._start", "y._period", "y._part", (F.col("_block") - F.col("_lo")).alias("_n"))
-    rows = rows.withColumn("_r", F.col("_n") % F.col("_part")).withColumn("_q", F.floor(F.col("_n") / F.col("_part")))
-    rows = rows.alias("x").join(F.broadcast(places).alias("y"), (F.col("x._s") == F.col("y._s")) & (F.col("x._phase") == F.col("y._phase")) & (F.col("x._r") == F.col("y._r")))
-    slot = F.col("_start") + F.col("_q") * F.col("_period") + F.col("_offset")
-    return rows.select(*[F.col(f"x.`{c}`") for c in docs.columns], F.col("_block").alias("mix_block"), slot.cast("long").alias("mix_slot"), (slot * block_rows + F.col("_k") % block_rows).cast("long").alias("mix_position"))
+    rows = rows.withColumn("_i", within).join(held, ["_s", "_b"]).withColumn("_k", F.col("_i") + F.col("_before"))
+    rows = rows.withColumn("_block", block(F.col("_k")))
+    slot = F.get(F.col("_slots"), (F.col("_block") - block(F.col("_before"))).cast("int"))["_slot"]
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_block").alias("mix_block"), slot.alias("mix_slot"), (slot * block_rows + F.col("_k") % block_rows).cast("long").alias("mix_position"))
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:

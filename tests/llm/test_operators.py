@@ -261,6 +261,33 @@ def test_deviation_below_one_block():
         assert total == counts
 
 
+def test_deviation_from_target_weights():
+    from fractions import Fraction
+
+    counts = [6250, *[658] * 19]
+    weights = [Fraction(n**0.7) for n in counts]
+    used, hot = 0, weights[0] / sum(weights)
+    phase = mixing.layout(counts, weights, 1000)[0]
+    for t, i in enumerate(phase["cycle"] * phase["periods"] + phase["rest"], 1):
+        used += i == 0
+        assert abs(used - hot * t) < 1
+
+
+def test_mixing_follows_the_layout(spark):
+    from fractions import Fraction
+
+    sources = ["a"] * 4100 + ["b"] * 333 + [None] * 90 + ["c"] * 5
+    d = docs(spark, ["t"] * len(sources), sources=sources)
+    rows = mixing.mix(d, block_rows=2).select("source", "mix_block", "mix_slot").distinct().collect()
+    got = [(r["source"], r["mix_block"]) for r in sorted(rows, key=lambda r: r["mix_slot"])]
+    sizes, seen, want = [4100, 333, 5, 90], [0] * 4, []
+    for x in mixing.layout([-(-n // 2) for n in sizes], [Fraction(n**0.7) for n in sizes], 1000):
+        for i in x["rest"]:
+            want.append((("a", "b", "c", None)[i], seen[i]))
+            seen[i] += 1
+    assert got == want
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------
 
 
