@@ -10,9 +10,9 @@ Documents compare by their tokens first, far below the threshold; what that join
 families links are confirmed on the full sets of 64-bit shingle hashes, so a text's set is sent once, not once a tree.
 
 A node or family too large for one task is compared in chunks that all hold the same pivots; what then lies outside its
-largest component is compared with every chunk. So a family of copies costs about one comparison a member, nothing is
-capped, and no task holds more than two chunks. Only links between components are kept, at most one less than a group
-has members.
+largest component is compared with every chunk; nodes of all trees take part, those of one family as one. So a family of
+copies costs about one comparison a member, nothing is capped, and no task holds more than two chunks. Only links
+between components are kept, at most one less than a group has members.
 
 Defined cases: a null or wordless text is empty and linked with nothing; fewer words than a shingle make one shingle;
 rows that share a doc_id are one document; a row with a null doc_id is linked with nothing, its component_id is null
@@ -39,8 +39,6 @@ ONE_TASK_LINKS = 2_000_000
 TREES = 18
 #: The low bits of a node's number are its tree's.
 TREE_BITS = 31
-#: Trees whose large nodes are gone through again for what their pivots left apart.
-AGAIN_TREES = 5
 #: Broadcast of wanted ids: at most so many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -365,6 +363,14 @@ def relabelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.drop("label").join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
 
 
+def across_trees(large: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Large nodes (node, rep, label) of all trees that pivots left in more than one component. Those with the same largest component become one, named by it, with each document once: every two documents of a node stay together, and a family's nodes are gone through once, not once a tree."""
+    # a document gets its label once, not once a tree
+    rows = relabelled(large.groupBy("rep").agg(F.collect_list("node").alias("node")), labels).withColumn("node", F.explode("node"))
+    per = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", -F.col("label"))).alias("main"))
+    return rows.join(per.where("labels > 1").select("node", "main"), "node").select(F.col("main").alias("node"), "rep", "label").distinct()
+
+
 def families(reps: DataFrame, trees: int, percent: int, small: int, levels: int, chunk: int) -> DataFrame | None:
     """(rep, label): components of what the trees bring together and tokens may link. Links hold within them."""
     nodes, large = tree_nodes(reps.withColumn("label", F.col("rep")), range(trees), percent / 100, small, levels)
@@ -372,8 +378,7 @@ def families(reps: DataFrame, trees: int, percent: int, small: int, levels: int,
     if large is None:
         return components(likely(groups, reps, percent), reps.sparkSession)
     labels = components(likely(groups.union(chunked(large, False, chunk)), reps, percent), reps.sparkSession)
-    large = large.where(F.col("node").bitwiseAND(TREE_BITS) < AGAIN_TREES)
-    again = likely(chunked(relabelled(large, labels), True, chunk), reps, percent)
+    again = likely(chunked(across_trees(large, labels), True, chunk), reps, percent)
     return components(as_links(labels, again), reps.sparkSession)
 
 

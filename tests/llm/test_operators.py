@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorebase.llm import chat, decontaminate, lattice, media, mixing, neardup, quality, secrets, suffix, urlrules
 
@@ -217,6 +218,26 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.classes(d.limit(0), 3, 85).count() == 0
 
 
+def test_parted_rest_of_every_tree(spark, monkeypatch):
+    """Two equal documents that no first chunk holds together, in a large node of one tree."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sig = [r.integers(0, 1 << 32, neardup.TOKENS, dtype=np.uint64).astype(np.uint32) for _ in range(40)]
+    nodes = spark.createDataFrame([(7, i, i) for i in range(40)], "node long, rep long, label long")
+    first = {}
+    for x in neardup.chunked(nodes, False, 4).collect():
+        first.setdefault(x["rep"], set()).add(x["gid"])
+    a, b = next((i, j) for i in range(40) for j in range(i) if not first[i] & first[j])
+    sig[a] = sig[b]
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes()), bytearray(x.astype(np.uint8).tobytes())) for i, x in enumerate(sig)], "rep long, sig binary, low binary")
+    for tree in (0, 7, 17):
+        large = nodes.withColumn("node", F.lit(tree).cast("long"))
+        monkeypatch.setattr(neardup, "tree_nodes", lambda *args, large=large: (nodes.limit(0), large))
+        got = neardup.families(reps, neardup.TREES, 85, 2, 2, 4)
+        assert got is not None and {(x["rep"], x["label"]) for x in got.collect()} == {(max(a, b), min(a, b)), (min(a, b), min(a, b))}
+
+
 def test_stars_and_one_task_agree(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
