@@ -33,8 +33,10 @@ _CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 DIGEST_LENGTHS = frozenset((32, 40, 56, 64, 96, 128))
 _DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
-#: Words of letters, joined or not, each with a short number at most; pure numbers; dates.
-_IDENTIFIER = re.compile(rb"(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4}(?:[/_=+-]+(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4})*\Z|[\d_/=+-]+\Z|(?:[A-Z]?[a-z]{2,})+\d{0,4}\Z")
+#: Pure numbers and dates; parts of identifiers; words of letters, joined or not, each with a short number at most.
+_NUMBERS = re.compile(rb"[\d_/=+-]+\Z")
+_PART = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
+_IDENTIFIER = re.compile(rb"(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4}(?:[/_=+-]+(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4})*\Z|(?:[A-Z]?[a-z]{2,})+\d{0,4}\Z")
 
 
 @lru_cache(maxsize=2)
@@ -47,10 +49,27 @@ def encoding(path: str = TOKENIZER):
     return tiktoken.Encoding("candidates", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
 
-def known(candidate: bytes) -> bool:
-    """A digest by its length and alphabet, a UUID, or an identifier."""
+def language(candidate: bytes, tokenizer: str) -> bool:
+    """At least half the letters lie in parts, of four letters or more, that are vocabulary words in some case; random letters hardly ever are."""
+    parts = _PART.findall(candidate)
+    in_words = sum(len(p) for p in parts if len(p) >= 4 and is_word(p[:64], tokenizer))
+    return 2 * in_words >= sum(map(len, parts))
+
+
+@lru_cache(maxsize=100_000)
+def is_word(part: bytes, tokenizer: str) -> bool:
+    text = part.decode()
+    forms = (text, text.lower(), text.capitalize())
+    return any(len(encoding(tokenizer).encode_ordinary(before + x)) == 1 for x in forms for before in ("", " "))
+
+
+def known(candidate: bytes, tokenizer: str = TOKENIZER) -> bool:
+    """A digest by its length and alphabet, a UUID, a number, or an identifier made of words; other letters face the ratio."""
     return bool(
-        (len(candidate) in DIGEST_LENGTHS and _DIGEST.match(candidate)) or _UUID.match(candidate) or _IDENTIFIER.match(candidate)
+        (len(candidate) in DIGEST_LENGTHS and _DIGEST.match(candidate))
+        or _UUID.match(candidate)
+        or _NUMBERS.match(candidate)
+        or (_IDENTIFIER.match(candidate) and language(candidate, tokenizer))
     )
 
 
@@ -66,7 +85,7 @@ def spans_of(text: bytes, max_ratio: float = 1.9, tokenizer: str = TOKENIZER) ->
     for m in _CANDIDATE.finditer(text):
         word = m.group()
         # long runs are weighed in slices, as merging takes more than linear time
-        if known(word):
+        if known(word, tokenizer):
             continue
         tokens = sum(len(encoding(tokenizer).encode_ordinary(word[i : i + 4096].decode())) for i in range(0, len(word), 4096))
         if (ratio := len(word) / tokens) < max_ratio:

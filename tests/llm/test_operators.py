@@ -103,6 +103,17 @@ def test_secrets(spark):
     assert secrets.digests(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_secrets_of_letters_only():
+    import string
+
+    r = random.Random(8)
+    caught = lambda x: any(k == "token" for k, *_ in secrets.spans_of(x.encode()))
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        assert sum(caught("".join(r.choice(letters) for _ in range(40))) for _ in range(200)) >= 180
+    for x in ("internationalization", "some-dashed-name-here", "getElementByIdFromDocument", "2024-01-01-2024-02-01", "----------------------", "keitlichenlichkeitbe"):
+        assert not caught(x)
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
