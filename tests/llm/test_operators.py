@@ -320,6 +320,14 @@ def test_mixing_follows_the_layout(spark):
     assert got == want
 
 
+def test_mixing_of_many_sources(spark):
+    sources = [f"s{k * k % 1201}" for k in range(1201)] + ["s1"] * 200
+    rows = mixing.mix(docs(spark, ["t"] * len(sources), sources=sources), block_rows=4).select("doc_id", "source", "mix_block", "mix_slot").collect()
+    assert len(set(sources)) > 300 and sorted(x["doc_id"] for x in rows) == list(range(len(sources)))
+    slots = {x["mix_slot"]: (x["source"], x["mix_block"]) for x in rows}
+    assert sorted(slots) == list(range(len({(x["source"], x["mix_block"]) for x in rows}))) and len(set(slots.values())) == len(slots)
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------
 
 
