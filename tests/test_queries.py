@@ -42,3 +42,13 @@ def test_query(name, spark, sf_dir, duck):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["page_id", "content", "score"]
+
+
+def test_whole_texts(spark, tmp_path):
+    """A run of backticks and the end of a frontmatter far behind the first characters."""
+    from __spark_entry__ import queries
+
+    far = "word " * 20
+    spark.createDataFrame([(4, f"{far}`````` end"), (1, f"{far}\nkey: x\n---\nend")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["fence"] for r in queries()["str_08_fence"](spark, str(tmp_path)).collect()}[4] == "`" * 7
+    assert {r["doc_id"]: r["has"] for r in queries()["spl_06_frontmatter"](spark, str(tmp_path)).collect()}[1]
