@@ -36,7 +36,10 @@ _UUID = re.compile(rb"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
 #: Pure numbers and dates; parts of identifiers; words of letters, joined or not, each with a short number at most.
 _NUMBERS = re.compile(rb"[\d_/=+-]+\Z")
 _PART = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
-_IDENTIFIER = re.compile(rb"(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4}(?:[/_=+-]+(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4})*\Z|(?:[A-Z]?[a-z]{2,})+\d{0,4}\Z")
+_SEPARATORS = re.compile(rb"[/_=+-]+")
+#: No two ways to match one text, so that a failing match takes linear time.
+_WORD = re.compile(rb"(?:[A-Za-z]?[a-z]*|[A-Z]+)\d{0,4}\Z")
+_CAMEL = re.compile(rb"(?:[a-z]{2,})?(?:[A-Z][a-z]{2,})*\d{0,4}\Z")
 
 
 @lru_cache(maxsize=2)
@@ -63,13 +66,18 @@ def is_word(part: bytes, tokenizer: str) -> bool:
     return any(len(encoding(tokenizer).encode_ordinary(before + x)) == 1 for x in forms for before in ("", " "))
 
 
+def identifier(candidate: bytes) -> bool:
+    """Words with a short number each between separators, or joined by capitals. One pass: each part is tested once."""
+    return all(map(_WORD.match, _SEPARATORS.split(candidate))) or bool(_CAMEL.match(candidate))
+
+
 def known(candidate: bytes, tokenizer: str = TOKENIZER) -> bool:
     """A digest by its length and alphabet, a UUID, a number, or an identifier made of words; other letters face the ratio."""
     return bool(
         (len(candidate) in DIGEST_LENGTHS and _DIGEST.match(candidate))
         or _UUID.match(candidate)
         or _NUMBERS.match(candidate)
-        or (_IDENTIFIER.match(candidate) and language(candidate, tokenizer))
+        or (identifier(candidate) and language(candidate, tokenizer))
     )
 
 
