@@ -80,10 +80,20 @@ def crc_mod(doc_id: str | F.Column, n: int) -> F.Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def own_names(columns: Iterable[str], n: int) -> list[str]:
+    """So many column names that differ from the given ones, whatever those are."""
+    start = "_own"
+    while any(c.lower().startswith(start) for c in columns):
+        start = "_" + start
+    return [f"{start}{i}" for i in range(n)]
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder in spark.checkpoint.dir; that setting gets a local default only where it is unset, as in tests."""
+    """A new folder in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, as in tests; a cluster has none that all executors share, and raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="lorebase-")

@@ -9,11 +9,12 @@ its own start), until every row has its place: none is dropped, none comes twice
 Weights are exact: they become whole numbers over their common denominator, and releases and deadlines are counted in
 those over the whole of a phase, however long. One task lays the schedule out from the sources' row counts, a block at a
 time, and holds a few numbers a source. Rows find their slots by their numbers within the source, which are summed up
-from counts of hash buckets: no source is sorted in one place.
+from counts of hash buckets and of groups of them: no source is sorted, nor are its buckets, in one place.
 
 Defined cases: a null source is a source of its own, named by null; a source without a target weight has the default
 weight; a weight of 0 puts the source after all others; rows are ordered within a source by a hash of the id, then the
-id, then a hash of the row, so the order is settled up to equal rows; an empty table gives no rows.
+id, then a hash of the row, so the order is settled up to equal rows; a column that has the name of a result gives way
+to it, other names never clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import own_names, stored
 
 BLOCK_ROWS = 16
 BUCKET_ROWS = 512
@@ -122,35 +123,43 @@ def slots(sizes: DataFrame, weights: dict | None, block_rows: int, exponent: flo
     return sizes.coalesce(1).mapInArrow(run, "_s string, _block long, _slot long")
 
 
+#: Hash buckets that a window of the first or second level goes over.
+GROUP_BUCKETS = 4096
+PLACES = ("mix_block", "mix_slot", "mix_position")
+
+
 def mix(docs: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int | None = None, exponent: float = 0.7, default: float | None = None) -> DataFrame:
-    """docs with ``mix_block`` (of the source), ``mix_slot`` and ``mix_position`` (slot, then row in the block; last blocks may be short). Without weights a source's is its rows to the power ``exponent``. Weights are exact, ``period`` rounds nothing."""
-    clash = {"mix_block", "mix_slot", "mix_position"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"there are columns {sorted(clash)}")
+    """docs with ``mix_block`` (of the source), ``mix_slot`` and ``mix_position`` (slot, then row in the block; last blocks may be short); columns of these names that docs has give way. Without weights a source's is its rows to the power ``exponent``. Weights are exact, ``period`` rounds nothing."""
+    keep = [c for c in docs.columns if c.lower() not in PLACES]
+    s, o, w, b, i, k, g, c, block, before, held_slots, slot, inner, outer = own_names(docs.columns, 14)
     # a source's key is never null: joins and windows on it then share one partitioning, so rows are shuffled once
-    key_of = F.concat(F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    sizes = stored(docs.groupBy(F.col(source_col).alias("s"), key_of.alias("key")).agg(F.count("*").alias("n")), "sources")
+    source, ident = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
+    key_of = F.concat(F.when(source.isNull(), "0").otherwise("1"), F.coalesce(source.cast("string"), F.lit("")))
+    sizes = stored(docs.groupBy(source.alias("s"), key_of.alias("key")).agg(F.count("*").alias("n")), "sources")
     largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     n_buckets = max(1, -(-largest // BUCKET_ROWS))
     # extra columns only travel with their row; the number is found from source and id
-    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(3))
-    all_of = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
-    rows = docs.select("*", key_of.alias("_s"), order.alias("_o"), all_of.alias("_w"))
+    order = F.xxhash64(ident.cast("string"), F.lit(3))
+    all_of = F.xxhash64(*[F.col(f"`{x}`") for x, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    rows = docs.select(*[F.col(f"`{x}`") for x in keep], key_of.alias(s), order.alias(o), all_of.alias(w))
     # order by unsigned hash: the bucket is its upper part
-    rows = rows.withColumn("_b", F.floor((F.col("_o").cast("double") + 2.0**63) / 2.0**64 * n_buckets))
-    per = rows.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
-    before = per.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn(b, F.floor((F.col(o).cast("double") + 2.0**63) / 2.0**64 * n_buckets))
+    per = rows.groupBy(s, b).agg(F.count("*").alias(c)).withColumn(g, F.floor(F.col(b) / GROUP_BUCKETS))
+    # rows before a bucket: those of its group's earlier buckets and those of the earlier groups, so that no window goes over a source
+    earlier = lambda n, part, by: F.coalesce(F.sum(n).over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = per.groupBy(s, g).agg(F.sum(c).alias(c)).select(s, g, earlier(c, [s], g).alias(outer))
+    counted = per.select(s, b, g, c, earlier(c, [s, g], b).alias(inner)).join(groups, [s, g]).select(s, b, c, (F.col(inner) + F.col(outer)).alias(before))
     # a bucket's slots, in the order of its blocks, come to its rows with its first number
-    block = lambda number: F.floor(number / block_rows).cast("long")
-    held = before.select("_s", "_b", "_before", F.explode(F.sequence(block(F.col("_before")), block(F.col("_before") + F.col("_c") - 1))).alias("_block"))
+    block_of = lambda number: F.floor(number / block_rows).cast("long")
+    held = counted.select(s, b, before, F.explode(F.sequence(block_of(F.col(before)), block_of(F.col(before) + F.col(c) - 1))).alias(block))
     # the planner takes the slots for as few as the sources, and would broadcast them
-    held = held.join(slots(sizes, weights, block_rows, exponent, default).hint("merge"), ["_s", "_block"])
-    held = held.groupBy("_s", "_b").agg(F.min("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("_block", "_slot"))).alias("_slots"))
-    within = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_o", F.col(id_col), "_w")) - 1
-    rows = rows.withColumn("_i", within).join(held, ["_s", "_b"]).withColumn("_k", F.col("_i") + F.col("_before"))
-    rows = rows.withColumn("_block", block(F.col("_k")))
-    slot = F.get(F.col("_slots"), (F.col("_block") - block(F.col("_before"))).cast("int"))["_slot"]
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_block").alias("mix_block"), slot.alias("mix_slot"), (slot * block_rows + F.col("_k") % block_rows).cast("long").alias("mix_position"))
+    laid = slots(sizes, weights, block_rows, exponent, default).toDF(s, block, slot)
+    held = held.join(laid.hint("merge"), [s, block])
+    held = held.groupBy(s, b).agg(F.min(before).alias(before), F.sort_array(F.collect_list(F.struct(block, slot))).alias(held_slots))
+    within = F.row_number().over(Window.partitionBy(s, b).orderBy(o, ident, w)) - 1
+    rows = rows.withColumn(i, within).join(held, [s, b]).withColumn(k, F.col(i) + F.col(before)).withColumn(block, block_of(F.col(k)))
+    at = F.get(F.col(held_slots), (F.col(block) - block_of(F.col(before))).cast("int"))[slot]
+    return rows.select(*[F.col(f"`{x}`") for x in keep], F.col(block).alias("mix_block"), at.alias("mix_slot"), (at * block_rows + F.col(k) % block_rows).cast("long").alias("mix_position"))
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:

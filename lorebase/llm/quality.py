@@ -13,7 +13,7 @@ bound; everything else runs over all rows.
 
 Defined cases: a null or empty text has the bins of an empty text only; labels of null quality or null id are not used;
 a document with several labels takes each; without labels of both kinds every score is the share of label 1 (0.5
-without any); repeated rows score equally; an empty table gives no rows.
+without any); repeated rows score equally; a column that has the score's name gives way; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHash, crc_mod, text_parts
+from .common import WordHash, crc_mod, own_names, text_parts
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -191,20 +191,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_tr
 
 
 def scored(docs: DataFrame, model: Machine, out: str = "score") -> DataFrame:
-    """docs with the score added as column ``out``. The model has a fixed size."""
+    """docs with the score added as column ``out``; a column of that name gives way. The model has a fixed size."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     lengths = "n_chars" in docs.columns
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() != out.lower()]
 
     def run(batches):
         hashes = WordHash()
         for b in batches:
             for part, texts in text_parts(b, PART_BYTES):
                 lens = part.column(part.schema.get_field_index("n_chars")).to_pylist() if lengths else [None] * len(texts)
-                yield part.append_column(out, pa.array(sigmoid(sent.value.raw(*features(texts, lens, hashes)))))
+                yield part.select(keep).append_column(out, pa.array(sigmoid(sent.value.raw(*features(texts, lens, hashes)))))
 
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out}")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in keep), T.StructField(out, T.DoubleType())]))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
@@ -217,5 +216,5 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
     """The documents that score at least ``least``, with their columns."""
     model = train(docs, labels, **options)
-    name = "_score" if "score" in docs.columns else "score"
-    return scored(docs, model, name).where(F.col(name) >= least).select(*docs.columns)
+    (name,) = own_names(docs.columns, 1)
+    return scored(docs, model, name).where(F.col(name) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
