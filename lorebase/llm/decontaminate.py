@@ -3,19 +3,22 @@
 The training documents are cut into shards (about ``shard_bytes`` of whole documents). A shard's words, named by their
 number in the benchmark's vocabulary (0: not in it), form one sequence with a 0 between documents; no benchmark text
 holds a 0, so suffixes that start with one are left out of the array without loss. Suffixes are sorted by prefix
-doubling down to the longest item, then every suffix of every item is binary-searched in every shard: its longest
-verbatim match, and the range of places that hold its window.
+doubling down to the longest item, then every suffix of every item is binary-searched in every shard for its longest
+verbatim match and a place of it. The suffixes whose match holds their window have it searched as a range, for all its
+places; a hit place tells the longest match that starts there.
 
-The benchmark is a stated query set. It goes to the tasks in blocks of at most ``block_words`` words, so what a task
-holds is bounded; a larger benchmark takes more blocks, each one more pass.
+The benchmark is a stated query set. It goes to the tasks in blocks of about ``block_words`` words, one at a time: the
+driver and a task hold one block, and a larger benchmark takes more blocks, each one more pass over a shard.
 
 Defined cases: null or wordless texts have no words, no hits; an item without words has no window; of repeated item ids
-each row counts, the id is listed once; repeated document rows each get a row; null item ids are not listed but hit.
+each row counts, the id is listed once; repeated document rows each get a row; null item ids are not listed but hit;
+an empty benchmark hits nothing; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +45,10 @@ class Queries:
     size: np.ndarray  # words of the window that starts here, 0: none
     ids: list[str | None]
     depth: int  # words of the longest item
+    window: int
+    order: np.ndarray  # starts of the suffixes, sorted
+    kind: np.ndarray  # number of each suffix's window among the distinct ones
+    items: list[list[int]]  # items that hold each distinct window
 
 
 def queries(items: list[tuple], window: int = WINDOW) -> Queries:
@@ -60,7 +67,9 @@ def queries(items: list[tuple], window: int = WINDOW) -> Queries:
         left += range(n, 0, -1)
         size += [win if n - i >= win else 0 for i in range(n)]
     arr = lambda x: np.array(x, dtype=np.int64)
-    return Queries(vocabulary, arr(seq + [0] * depth), arr(starts), arr(item), arr(left), arr(size), [None if i is None else str(i) for i, _ in items], depth)
+    seq, starts, item, size = arr(seq + [0] * depth), arr(starts), arr(item), arr(size)
+    kind, held = alike(seq, starts, item, size)
+    return Queries(vocabulary, seq, starts, item, arr(left), size, [None if i is None else str(i) for i, _ in items], depth, window, suffix_array(seq, depth), kind, held)
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -127,23 +136,23 @@ def bound(seq: np.ndarray, order: np.ndarray, q: np.ndarray, starts: np.ndarray,
         hi[open_[~less]] = mid[~less]
 
 
-def longest(seq: np.ndarray, order: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
-    """Of each query suffix: words of its longest match in the shard, and one place of it."""
-    n = len(q.starts)
+def longest(seq: np.ndarray, order: np.ndarray, other: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix of ``other`` (``left`` words from its start): words of its longest match in seq, whose suffixes are in order, and one place of it."""
+    n = len(starts)
     best, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     if not len(order) or not n:
         return best, place
-    at = bound(seq, order, q.seq, q.starts, q.left, False)
+    at = bound(seq, order, other, starts, left, False)
     last = len(seq) - 1
     for near in (np.minimum(at, len(order) - 1), np.maximum(at - 1, 0)):  # the neighbours in the order share most
         pos = order[near]
         got = np.zeros(n, np.int64)
         live = np.arange(n)
         while len(live):
-            same = seq[np.minimum(pos[live] + got[live], last)] == q.seq[q.starts[live] + got[live]]
+            same = seq[np.minimum(pos[live] + got[live], last)] == other[starts[live] + got[live]]
             live = live[same]
             got[live] += 1
-            live = live[got[live] < q.left[live]]
+            live = live[got[live] < left[live]]
         better = got > best
         best[better], place[better] = got[better], pos[better]
     return best, place
@@ -164,48 +173,76 @@ def named(texts: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray,
 
 def windows(seq: np.ndarray, order: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(place in seq, number of a query suffix) for each occurrence of each distinct window. A place holds as many as there are window lengths at most."""
-    has = np.flatnonzero(q.size)
-    if not len(has) or not len(order):
+    size, _ = longest(seq, order, q.seq, q.starts, q.left)
+    has = np.flatnonzero((q.size > 0) & (size >= q.size))
+    if not len(has):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     lo = bound(seq, order, q.seq, q.starts[has], q.size[has], False)
     hi = bound(seq, order, q.seq, q.starts[has], q.size[has], True)
     # equal windows have equal ranges; the first stands for all
     _, first = np.unique(np.stack([lo, hi, q.size[has]]), axis=1, return_index=True)
-    first = first[hi[first] > lo[first]]
     n = hi[first] - lo[first]
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return order[np.repeat(lo[first], n) + within], np.repeat(has[first], n)
 
 
-def alike(q: Queries) -> tuple[np.ndarray, list[list[int]]]:
+def extents(seq: np.ndarray, place: np.ndarray, suffix: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+    """(places, words): the distinct hit places, and of each the longest match with an item that holds a window there."""
+    at, back = np.unique(place, return_inverse=True)
+    zero = np.flatnonzero(seq == 0)
+    left = np.minimum(zero[np.searchsorted(zero, at)] - at, q.depth)
+    size, _ = longest(q.seq, q.order, seq, at, left)
+    window = np.zeros(len(at), np.int64)
+    np.maximum.at(window, back, q.size[suffix])
+    # shorter matches hold no window but that of a short item
+    return at, np.where(size >= q.window, size, window)
+
+
+def alike(seq: np.ndarray, starts: np.ndarray, item: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     """Number of each suffix's window among the distinct ones, and the items that hold each."""
     seen: dict[bytes, int] = {}
-    cls, items = np.full(len(q.starts), -1, np.int64), []
-    for i in np.flatnonzero(q.size):
-        k = seen.setdefault(q.seq[q.starts[i] : q.starts[i] + q.size[i]].tobytes(), len(seen))
+    kind, items = np.full(len(starts), -1, np.int64), []
+    for i in np.flatnonzero(size):
+        k = seen.setdefault(seq[starts[i] : starts[i] + size[i]].tobytes(), len(seen))
         if k == len(items):
             items.append([])
-        cls[i] = k
-        if not items[k] or items[k][-1] != q.item[i]:
-            items[k].append(int(q.item[i]))
-    return cls, items
+        kind[i] = k
+        if not items[k] or items[k][-1] != item[i]:
+            items[k].append(int(item[i]))
+    return kind, items
 
 
-def shard_hits(texts: list[bytes], q: Queries, groups: tuple) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """Of each document: words, runs of hit words [start, end), sorted ids of the items with windows in it."""
+@dataclass
+class Hits:
+    """Of a document: its words, runs of hit words [start, end), sorted ids of the items with windows in it, words of the longest match and the first word where one starts."""
+
+    words: int
+    runs: list[tuple[int, int]]
+    items: list[str]
+    longest: int
+    at: int | None
+
+
+def shard_hits(texts: list[bytes], q: Queries) -> list[Hits]:
     seq, starts = named(texts, q.vocabulary)
     order = suffix_array(seq, q.depth)
     place, suffix = windows(seq, order, q)
-    cls, items = groups
     edge = np.zeros(len(seq) + 1, np.int64)
     np.add.at(edge, place, 1)
     np.add.at(edge, place + q.size[suffix], -1)
     hit = np.cumsum(edge[:-1]) > 0
-    doc = np.searchsorted(starts, place, "right") - 1
-    pairs = np.unique(np.stack([doc, cls[suffix]]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
+    of_place = lambda p: np.searchsorted(starts, p, "right") - 1
+    pairs = np.unique(np.stack([of_place(place), q.kind[suffix]]), axis=1) if len(place) else np.zeros((2, 0), np.int64)
     of: dict[int, set] = {}
     for d, c in pairs.T.tolist():
-        of.setdefault(d, set()).update(items[c])
+        of.setdefault(d, set()).update(q.items[c])
+    best: dict[int, tuple[int, int]] = {}
+    if len(place):
+        at, size = extents(seq, place, suffix, q)
+        doc = of_place(at)
+        sort = np.lexsort((at, -size, doc))
+        first = sort[np.concatenate([[True], doc[sort][1:] != doc[sort][:-1]])]
+        best = {int(doc[i]): (int(size[i]), int(at[i] - starts[doc[i]])) for i in first}
     out = []
     for d in range(len(texts)):
         a, b = starts[d], starts[d + 1] - 1
@@ -213,7 +250,7 @@ def shard_hits(texts: list[bytes], q: Queries, groups: tuple) -> list[tuple[int,
         if d in of:
             flips = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
             runs = list(zip(flips[::2].tolist(), flips[1::2].tolist(), strict=True))
-        out.append((int(b - a), runs, sorted({q.ids[i] for i in of.get(d, ()) if q.ids[i] is not None})))
+        out.append(Hits(int(b - a), runs, sorted({q.ids[i] for i in of.get(d, ()) if q.ids[i] is not None}), *best.get(d, (0, None))))
     return out
 
 
@@ -227,47 +264,62 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def query_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[Queries]:
+def query_blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Queries]:
     """The stated query set in blocks. It streams to the driver item by item; a block is closed at ``block_words`` words."""
-    out, now, n = [], [], 0
+    now, n, none = [], 0, True
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         now.append((row[0], row[1]))
         n += len(row[1] or "") // 4 + 1
         if n >= block_words:
-            out.append(queries(now, window))
-            now, n = [], 0
-    return [*out, queries(now, window)] if now or not out else out
+            yield queries(now, window)
+            now, n, none = [], 0, False
+    if now or none:
+        yield queries(now, window)
+
+
+def sent_blocks(benchmark: DataFrame, window: int, block_words: int) -> list:
+    """A broadcast for each block; the driver keeps none of them."""
+    sc = benchmark.sparkSession.sparkContext
+    return [sc.broadcast(q) for q in query_blocks(benchmark, window, block_words)]
+
+
+def each_block(sent: list) -> Iterator[Queries]:
+    """The blocks one after the other; of several, a task holds one at a time and reads it again from its executor's disk."""
+    for b in sent:
+        yield b.value
+        if len(sent) > 1:
+            b.__dict__.pop("_value", None)
+
+
+def joined(per: tuple[Hits, ...]) -> Hits:
+    """A document's hits in all blocks."""
+    if len(per) == 1:
+        return per[0]
+    size, at = max(((h.longest, -h.at) for h in per if h.longest), default=(0, None))
+    return Hits(per[0].words, merged([r for h in per for r in h.runs]), sorted({i for h in per for i in h.items}), size, None if at is None else -at)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a document: doc_id, n_words, ``hits`` (runs of hit words) and ``items`` (ids with occurring windows). No shuffle: a shard is a part of a task's input."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark, window, block_words)]
+    """One row a document: doc_id, n_words, ``hits`` (runs of hit words), ``items`` (ids with occurring windows), ``longest`` (words of its longest verbatim match with an item that holds a window, else 0) and ``longest_at`` (the first word where one starts, else null). No shuffle: a shard is a part of a task's input."""
+    sent = sent_blocks(benchmark, window, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        groups = [alike(b.value) for b in sent]
         for batch in batches:
             texts = column_bytes(batch)
             for i, j in blocks(texts, shard_bytes):
-                many = [shard_hits(texts[i:j], b.value, g) for b, g in zip(sent, groups, strict=True)]
-                n, runs, ids = [], [], []
-                for per in zip(*many, strict=True):
-                    n.append(per[0][0])
-                    spans = per[0][1] if len(per) == 1 else merged([r for x in per for r in x[1]])
-                    runs.append([{"start": a, "end": b} for a, b in spans])
-                    ids.append(per[0][2] if len(per) == 1 else sorted({y for x in per for y in x[2]}))
+                hits = [joined(x) for x in zip(*(shard_hits(texts[i:j], q) for q in each_block(sent)), strict=True)]
                 own = batch.column(batch.schema.get_field_index("doc_id")).slice(i, j - i)
-                yield record_batch(pa.schema([("doc_id", own.type), ("n_words", pa.int64()), ("hits", run_type), ("items", pa.list_(pa.string()))]), [own, n, runs, ids])
+                schema = pa.schema([("doc_id", own.type), ("n_words", pa.int64()), ("hits", run_type), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64())])
+                yield record_batch(schema, [own, [h.words for h in hits], [[{"start": a, "end": b} for a, b in h.runs] for h in hits], [h.items for h in hits], [h.longest for h in hits], [h.at for h in hits]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, hits array<struct<start:bigint,end:bigint>>, items array<string>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, hits array<struct<start:bigint,end:bigint>>, items array<string>, longest long, longest_at long")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Of each suffix of each item the longest verbatim match in all documents: item (its number in order of item_id, text), item_id, item_word, length, doc_id, doc_word. Each shard gives its best; one aggregation by suffix keeps the best of all."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark, WINDOW, block_words)]
+    sent = sent_blocks(benchmark, WINDOW, block_words)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -276,10 +328,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SH
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for i, j in blocks(texts, shard_bytes):
                 base = 0
-                for b in sent:
-                    q = b.value
+                for q in each_block(sent):
                     seq, starts = named(texts[i:j], q.vocabulary)
-                    size, place = longest(seq, suffix_array(seq, q.depth), q)
+                    size, place = longest(seq, suffix_array(seq, q.depth), q.seq, q.starts, q.left)
                     got = np.flatnonzero(size)
                     doc = np.searchsorted(starts, place[got], "right") - 1
                     first = np.searchsorted(q.item, np.arange(len(q.ids)))
@@ -299,16 +350,15 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SH
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no window, with their columns. A null or repeated doc_id is no hindrance: each row is judged by its own text."""
-
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(q) for q in query_blocks(benchmark, options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))]
+    sent = sent_blocks(benchmark, options.get("window", WINDOW), options.get("block_words", BLOCK_WORDS))
 
     def run(batches):
-        groups = [alike(b.value) for b in sent]
         for batch in batches:
             for part, texts in text_parts(batch, options.get("shard_bytes", SHARD_BYTES)):
-                many = [shard_hits(texts, b.value, g) for b, g in zip(sent, groups, strict=True)]
-                yield part.filter(pa.array([not any(x[1] for x in per) for per in zip(*many, strict=True)], pa.bool_()))
+                keep = np.ones(len(texts), bool)
+                for q in each_block(sent):
+                    keep &= [not h.runs for h in shard_hits(texts, q)]
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -327,21 +377,29 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.col("longest").alias("longest_match"),
+        "longest_at",
     )
 
 
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
-       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bp AS (SELECT k, i AS j, item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+       FROM (SELECT k, item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+bw AS (SELECT DISTINCT item_id, n, g FROM bp),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
        FROM (SELECT r, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS i FROM d, sizes)),
 m AS (SELECT dw.r, dw.n, dw.i, bw.item_id FROM dw JOIN bw USING (n, g)),
 hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM m) GROUP BY r),
+runs AS (SELECT r, min(i) AS a, count(*) + n - 1 AS size
+         FROM (SELECT r, k, n, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY r, k, i - j ORDER BY i) AS island FROM dw JOIN bp USING (n, g))
+         GROUP BY r, k, n, diagonal, island),
+lo AS (SELECT r, max(size) AS longest_match, arg_max(a, struct_pack(s := size, p := -a)) - 1 AS longest_at FROM runs GROUP BY r),
 it AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest_match, 0)::BIGINT AS longest_match, longest_at
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN lo USING (r)
 """
