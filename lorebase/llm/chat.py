@@ -72,8 +72,9 @@ def digests(turns: DataFrame) -> DataFrame:
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("</s>[INST] ok [/INST]")
+    turn = lambda i, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), said.alias("text"))
+    more = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
     return digests(rows.unionByName(more))
 
 

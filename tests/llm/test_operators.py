@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -110,10 +111,26 @@ def test_secrets_of_letters_only():
     caught = lambda x: any(k == "token" for k, *_ in secrets.spans_of(x.encode()))
     for letters in (string.ascii_lowercase, string.ascii_uppercase):
         assert sum(caught("".join(r.choice(letters) for _ in range(40))) for _ in range(200)) >= 180
+    # planted strings of several alphabets, and names of the kinds that code holds
+    kinds = {"base64": string.ascii_letters + string.digits + "+/", "hex": "0123456789abcdef", "alnum": string.ascii_letters + string.digits}
+    for letters in kinds.values():
+        assert sum(caught("".join(r.choice(letters) for _ in range(36))) for _ in range(200)) >= 180
+    parts = ["get", "user", "Name", "list", "index", "file", "path", "value", "table", "query", "result", "session", "server", "config"]
+    names = [r.choice("_-/").join(r.choice(parts) for _ in range(5)) for _ in range(200)] + ["".join(r.choice(parts).capitalize() for _ in range(5)) for _ in range(200)]
+    assert sum(map(caught, names)) <= 8
     for x in ("internationalization", "some-dashed-name-here", "getElementByIdFromDocument", "2024-01-01-2024-02-01", "----------------------", "keitlichenlichkeitbe"):
         assert not caught(x)
 
 
+def test_secrets_of_long_runs():
+    """Scanning takes linear time whatever a candidate is made of."""
+    secrets.spans_of(b"aB9caB9caB9caB9caB9c")  # reads the vocabulary
+    for text in (b"-" * 1_000_000 + b"aB9c end", b"a" * 1_000_000 + b"B9c1x end", b"Aa" * 500_000 + b"9x", b"see " + b"_" * 40 + b"aB9c end", b"password" + b" " * 1_000_000):
+        began = time.perf_counter()
+        secrets.spans_of(text)
+        assert time.perf_counter() - began < 5
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------
 
 
@@ -134,9 +151,12 @@ def test_quality_identity_and_held_out_accuracy(spark):
         a, z = off[k], off[k + 1]
         pairs = sum(float(model.vector[f[i]] @ model.vector[f[j]]) * v[i] * v[j] for i in range(a, z) for j in range(i + 1, z))
         assert math.isclose(raw, model.bias + float(model.weight[f[a:z]] @ v[a:z]) + pairs, rel_tol=1e-9, abs_tol=1e-9)
-    with pytest.raises(ValueError):
-        quality.scored(d, model)  # there is a column of that name
-    assert quality.accepted(d, labels.limit(0)).count() == len(texts) + 2
+    assert dict(quality.scored(d, model).dtypes)["score"] == "double"  # the text column of that name gives way
+    both = quality.accepted(d.withColumn("_own0", F.lit(1)), labels.limit(0))
+    assert both.columns == [*d.columns, "_own0"] and both.count() == len(texts) + 2 and both.first()["score"] == "x"
+    assert quality.scored(d.limit(0), model).count() == 0
+    same = quality.scored(docs(spark, ["one text", "one text", "one text"], [5, 5, None]), model).collect()
+    assert len(same) == 3 and len({x["score"] for x in same}) == 1
 
 
 # --- 4 ---------------------------------------------------------------------------------------------------------
@@ -157,6 +177,21 @@ def plain_hits(texts, items):
     return out
 
 
+def plain_longest(text, items):
+    """Words of the longest match with an item that holds a window, and where it starts first."""
+    words = lambda t: decontaminate.alnum_words((t or "").encode())
+    w, best = words(text), (0, None)
+    for v in (words(t) for _, t in items):
+        for i in range(len(w)):
+            for j in range(len(v)):
+                k = 0
+                while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                    k += 1
+                if k >= min(10, len(v)) and (k > best[0] or k == best[0] and i < best[1]):
+                    best = (k, i)
+    return best
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_bytes": 300, "block_words": 5}])
 def test_decontamination(spark, options):
     r = random.Random(5)
@@ -170,6 +205,7 @@ def test_decontamination(spark, options):
         extra = plain_hits([texts[i]], [x for x in items])[0][1]
         assert got[i]["n_words"] == n and sum(s["end"] - s["start"] for s in got[i]["hits"]) == extra
         assert got[i]["items"] == ids
+        assert (got[i]["longest"], got[i]["longest_at"]) == plain_longest(texts[i], items)
     left = {x["doc_id"] for x in decontaminate.clean(docs(spark, texts), bench, **options).collect()}
     assert left == {i for i in got if not got[i]["hits"]}
     best = decontaminate.longest_matches(docs(spark, texts), spark.createDataFrame(items[:2], "item_id long, text string"), shard_bytes=300).collect()
@@ -320,6 +356,25 @@ def test_mixing_follows_the_layout(spark):
     assert got == want
 
 
+def test_mixing_odd_rows(spark):
+    rows = [(1, "a", 1, 2), (1, "a", 1, 2), (None, "a", 3, 4), (2, None, 5, 6), (None, None, 7, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, _s int, mix_slot int").withColumns({"_own3": F.lit(9), "a.b": F.lit(1)})
+    got = mixing.mix(d, block_rows=2)
+    assert got.columns == ["doc_id", "source", "_s", "_own3", "a.b", "mix_block", "mix_slot", "mix_position"]
+    out = got.collect()
+    assert sorted((str(x["doc_id"]), str(x["source"]), x["_s"]) for x in out) == sorted((str(a), str(b), c) for a, b, c, _ in rows) and len({x["mix_position"] for x in out}) == 5
+
+
+def test_mixing_over_groups_of_buckets(spark, monkeypatch):
+    sources = ["a"] * 900 + ["b"] * 50
+    d = docs(spark, ["t"] * len(sources), sources=sources)
+    place = lambda: sorted((x["doc_id"], x["mix_position"]) for x in mixing.mix(d, block_rows=4).select("doc_id", "mix_position").collect())
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    one = place()
+    monkeypatch.setattr(mixing, "GROUP_BUCKETS", 5)
+    assert place() == one and len({p for _, p in one}) == len(sources)
+
+
 def test_mixing_of_many_sources(spark):
     sources = [f"s{k * k % 1201}" for k in range(1201)] + ["s1"] * 200
     rows = mixing.mix(docs(spark, ["t"] * len(sources), sources=sources), block_rows=4).select("doc_id", "source", "mix_block", "mix_slot").collect()
@@ -342,9 +397,34 @@ def test_url_rules(spark):
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlrules.judge(pages).collect())
     assert got == sorted((i, h, p, r, v) for i, _, h, p, r, v in rows)
     assert urlrules.judge(pages.limit(0)).count() == 0
+    by_table = lambda p, r: urlrules.judge_by_table(p, urlrules.rule_table(spark, r))
+    assert got == sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in by_table(pages, urlrules.RULES + urlrules.PATTERNS).collect())
+    assert by_table(pages.limit(0), urlrules.RULES).count() == 0
+    with pytest.raises(ValueError):
+        urlrules.Rule("always", "block", "/", ())
     many = tuple(urlrules.Rule(f"r{i}", "block", f"/only{i}/", (f"only{i}",)) for i in range(450))
     hit = spark.createDataFrame([(1, "http://a/only3/"), (2, "http://a/only441/x"), (3, "http://a/only999/")], "page_id long, url string")
     assert [r["pattern"] for r in urlrules.judge(hit, patterns=many).orderBy("page_id").collect()] == ["r3", "r441", None]
+    assert [r["pattern"] for r in by_table(hit, many).orderBy("page_id").collect()] == ["r3", "r441", None]
+    odd = spark.createDataFrame([(1, "http://spam.casino.io/login", "a", "b"), (2, None, None, "c")], "`_own0` long, url string, Host string, _url string")
+    out = urlrules.judge(odd)
+    assert out.columns == ["_own0", "url", "_url", "host", "path", "rule", "verdict", "pattern"] and [r["pattern"] for r in out.orderBy("_own0").collect()] == ["spam host", None]
+
+
+def test_url_rules_join_agrees(spark):
+    r = random.Random(17)
+    words = [*urlrules.HOSTS, *urlrules.ANYWHERE, *urlrules.PAGES, "net", "org", "example", "en", "fr", "a", "b9"]
+    urls = ["http://" + "".join(r.choice(words) + r.choice(".-") for _ in range(r.randint(0, 3))) + "net/" + "".join(r.choice([w, w.upper()]) + r.choice("/._") for w in r.choices(words, k=r.randint(0, 3))) for _ in range(400)] + ["http://hot.com/login"] * 200
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = lambda df: sorted(tuple(x) for x in df.select("page_id", "host", "path", F.coalesce("rule", F.lit("")), "verdict", F.coalesce("pattern", F.lit(""))).collect())
+    no_rules = lambda rules: rows(urlrules.judge(pages, rules=rules))
+    for rules in ((), urlrules.RULES):
+        table = urlrules.rule_table(spark, rules + urlrules.PATTERNS)
+        got = no_rules(rules)
+        assert got == rows(urlrules.judge_by_table(pages, table)) and len({x[5] for x in got}) > 5
+    for page_id, host, path, rule, verdict, pattern in got:
+        want = next((p.name for p in urlrules.PATTERNS if not rule and re.search(p.regex, host + path)), "")
+        assert pattern == want
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------
