@@ -16,7 +16,7 @@ between components are kept, at most one less than a group has members.
 
 Defined cases: a null or wordless text is empty and linked with nothing; fewer words than a shingle make one shingle;
 rows that share a doc_id are one document; a row with a null doc_id is linked with nothing, its component_id is null
-and it is kept; an empty table gives no rows; other columns are not read.
+and it is kept; ids may be of any type that sorts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHash, mix64, space_words, stored, text_parts
 
@@ -399,8 +400,15 @@ def linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int, trees:
 
 
 def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, levels: int = LEVELS, chunk: int = CHUNK) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+    """One row a row of docs: doc_id, n_shingles, component_id, kept. Ids that are no whole numbers are compared as they are sorted."""
     docs = docs.select("doc_id", "text")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        # numbered in their order: partitions of a sort are ordered, and so are the numbers
+        ids = stored(docs.select("doc_id").where("doc_id is not null").distinct().sort("doc_id").select("doc_id", F.monotonically_increasing_id().alias("number")), "ids")
+        own = stored(docs.join(ids, "doc_id", "left").select(F.col("number").alias("doc_id"), "text"), "numbered")
+        out = classes(own, shingle, percent, trees, small, levels, chunk).withColumnsRenamed({"doc_id": "number", "component_id": "component"})
+        named = out.join(ids, "number", "left").join(ids.select(F.col("number").alias("component"), F.col("doc_id").alias("component_id")), "component", "left")
+        return named.select("doc_id", "n_shingles", "component_id", "kept")
     sketch = stored(sketches(docs, shingle), "sketches")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
     own = full.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "sig", "low")).alias("r"))
@@ -419,7 +427,7 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, **options) -> Da
     gone = stored(classes(docs, shingle, percent, **options).where("not kept").select("doc_id").distinct(), "gone")
     if gone.count() <= BROADCAST_ROWS:  # else texts cross a shuffle
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -65,6 +65,54 @@ def test_media_sequences(spark):
     assert out[1]["media"] == b"x" and out[3]["media"] is None and out[4]["size"] is None
 
 
+def test_media_alignment(spark):
+    """Many media a page, some unresolved, some twice: positions, captions and payloads stay together."""
+    r = random.Random(19)
+    store, pages, want = {}, [], []
+    for k in range(12):
+        png = media.to_png(media.payload_of(f"payload {k}".encode() * (k + 1)))
+        store[hashlib.sha256(png).hexdigest()] = png
+    for i in range(40):
+        html, n = "", 0
+        for _ in range(r.randint(0, 9)):
+            if r.random() < 0.5:
+                html += f"<p>text {n}</p>"
+            else:
+                digest = r.choice([*store, "f" * 64])
+                html += f'<figure><img src="media:sha256:{digest}"><figcaption>about {n} &amp; {digest[:4]}</figcaption></figure>'
+                want.append((i, n, digest, f"about {n} & {digest[:4]}", store.get(digest)))
+            n += 1
+        pages.append((i, html))
+    side = spark.createDataFrame([(d, bytearray(x)) for d, x in store.items()], "digest string, media binary")
+    out = media.resolved(media.sequences(spark.createDataFrame(pages, "doc_id long, html string")), side, with_bytes=True).where("kind = 'media'").collect()
+    key = lambda x: x[:2]
+    assert sorted([(x["doc_id"], x["position"], x["digest"], x["caption"], None if x["media"] is None else bytes(x["media"])) for x in out], key=key) == sorted(want, key=key)
+
+
+def test_media_odd_rows(spark, tmp_path):
+    d = spark.createDataFrame([(1, "same"), (1, "same"), (None, "same"), (2, None)], "doc_id long, text string").withColumns({"digest": F.lit("x"), "segments": F.lit(1), "position": F.lit(2)})
+    d.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    got = media.op1_media_columns(spark, str(tmp_path / "some")).collect()
+    assert sorted(str(x["doc_id"]) for x in got) == ["1", "1", "2", "None"] and len({x["media_sha256"] for x in got if x["n_bytes"]}) == 1
+    d.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert media.op1_media_columns(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_feature():
+    text = b"some text of one medium, " * 90
+    rows = [list(media.payload_of(text)[i : i + 192]) for i in range(0, len(media.payload_of(text)), 192)]
+    every = [x for row in rows for x in row]
+    mean = sum(every) / len(every)
+    dev = math.sqrt(sum((x - mean) ** 2 for x in every) / len(every))
+    edge = [int(len(rows) * i / 8) for i in range(9)]
+    cells = [[x for row in rows[edge[i] : edge[i + 1]] for x in row[24 * j : 24 * j + 24]] for i in range(8) for j in range(8)]
+    level = [sum(c) / max(1, edge[i // 8 + 1] - edge[i // 8]) for i, c in enumerate(cells)]
+    middle = sum(sorted(level)[31:33]) / 2
+    bits = "".join("01"[x > middle] for x in level)
+    h, m, s, k = (x.split("=")[1] for x in media.feature_of(media.from_png(media.to_png(media.payload_of(text)))).split(";"))
+    assert int(h) == len(rows) and abs(float(m) - mean) < 1e-3 and abs(float(s) - dev) < 1e-3 and int(k, 16) == int(bits, 2)
+
+
 def test_png_damage():
     data = bytearray(media.to_png(media.payload_of(b"some text")))
     data[-20] ^= 1
@@ -265,6 +313,14 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.classes(d.limit(0), 3, 85).count() == 0
 
 
+def test_near_duplicates_of_string_ids(spark):
+    rows = [("b", "x y z w"), ("a", "x y z w"), ("c9", "other words here now"), (None, "x y z w"), ("d", None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.classes(d, 3, 85).collect()}
+    assert got == {("b", "a", False), ("a", "a", True), ("c9", "c9", True), (None, None, True), ("d", "d", True)}
+    assert neardup.dedup(d, 3, 85).count() == 4 and neardup.classes(d.limit(0), 3, 85).count() == 0
+
+
 def test_parted_rest_of_every_tree(spark, monkeypatch):
     """Two equal documents that no first chunk holds together, in a large node of one tree."""
     import numpy as np
@@ -430,19 +486,56 @@ def test_url_rules_join_agrees(spark):
 # --- 8 ---------------------------------------------------------------------------------------------------------
 
 
-def test_lattice(spark):
-    v = lattice.vocabulary()
-    logp = [math.log(x) if x > 0 else -math.inf for x in v.first]
+def segmentations(t, v):
+    """Every way to spell t, as lists of pieces."""
+    if not t:
+        yield ()
+        return
+    for rest in segmentations(t[1:], v):
+        yield (*v.spell(t[0]), *rest)
+    for j in range(1, len(t) + 1):
+        if t[:j] in v.pieces:
+            for rest in segmentations(t[j:], v):
+                yield (v.pieces[t[:j]], *rest)
+
+
+def plain_scores(texts, train, v):
+    """(score, own_score) of each text by listing every segmentation of every word."""
+    words = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    ways = {w: [(s, math.prod(v.first[k] for k in s)) for s in segmentations(lattice.MARK + w, v)] for ws in words for w in ws}
+    mass = [x * v.size * 0.1 for x in v.first]
+    for ws, ok in zip(words, train, strict=True):
+        for w in ws if ok else ():
+            z = sum(p for _, p in ways[w])
+            for s, p in ways[w]:
+                for k in s:
+                    mass[k] += p / z
+    mass[-1] += sum(train)
+    new = [x / sum(mass) for x in mass]
+    score = lambda w, q: math.log10(math.fsum(math.prod(q[k] for k in s) for s, _ in ways[w]))
+    return [tuple(sum(score(w, q) for w in ws) + math.log10(q[-1]) for q in (new, v.first)) for ws in words]
+
+
+def test_lattices_together_and_alone():
+    import numpy as np
+
+    r, v = random.Random(18), lattice.vocabulary()
+    with np.errstate(divide="ignore"):
+        logp = np.log(v.first)
+    words = ["", "a", "étude", "xq日", "\U00013000" * 16, "\x00a", "x" * 60, *("".join(r.choice("abcdeilnrst日é") for _ in range(r.randint(1, 70))) for _ in range(60))]
+    count = np.array([float(r.randint(0, 3)) for _ in words])
+    many, one = np.zeros(v.size + 1), np.zeros(v.size + 1)
+    got = lattice.measured(words, v, logp, count, many)
+    want = [lattice.expected(w, c, v, logp.tolist(), one) for w, c in zip(words, count, strict=True)]
+    assert np.allclose(got, want, rtol=1e-9) and np.allclose(many, one, rtol=1e-6, atol=1e-9)
+    assert np.allclose(lattice.measured(words, v, logp), [lattice.forward(w, v, logp.tolist()) for w in words], rtol=1e-9)
 
-    def every(t):
-        if not t:
-            return 1.0
-        total = math.prod(v.first[k] for k in v.spell(t[0])) * every(t[1:])
-        return total + sum(v.first[v.pieces[t[:j]]] * every(t[j:]) for j in range(1, len(t) + 1) if t[:j] in v.pieces)
 
-    for w in ("the", "étude", "xq日", "a"):
-        assert math.isclose(lattice.forward(w, v, logp), math.log(every(lattice.MARK + w)), rel_tol=1e-9)
-    texts = [None, "", *(t for t in mixed(8, 30) if t)]
+def test_lattice(spark):
+    v = lattice.vocabulary()
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeßñ日") for _ in range(r.randint(1, 5)))
+    texts = [None, "", " ".join(["\U00013000\U00013001"] * 3), *(" ".join(word() for _ in range(r.randint(1, 40))) for _ in range(40)), "The the THE", "the the the"]
     got = {r["doc_id"]: r for r in lattice.scores(docs(spark, texts)).collect()}
     words = [(t or "").encode().lower().split() for t in texts]
     train = [zlib.crc32(str(i).encode()) % 10 != 0 for i in range(len(texts))]
@@ -450,13 +543,16 @@ def test_lattice(spark):
     ends = sum(train)
     n, distinct = sum(c.values()) + ends, len(c) + 1
     p = lambda x: math.log10((x + 0.1) / (n + 0.1 * (distinct + 1)))
-    for i, ws in enumerate(words):
+    for i, (ws, (score, own)) in enumerate(zip(words, plain_scores(texts, train, v), strict=True)):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not train[i], len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, n)
         assert math.isclose(r["base_score"], sum(p(c[w]) for w in ws) + p(ends), rel_tol=1e-9)
-        assert r["score"] < 0
-    assert math.isclose(got[0]["score"], got[1]["score"])
+        assert math.isclose(r["score"], score, rel_tol=1e-9) and math.isclose(r["own_score"], own, rel_tol=1e-9)
     assert lattice.scores(docs(spark, texts).limit(0)).count() == 0
+    # one document, with characters that no piece spells; rows that share an id, or have none
+    assert lattice.scores(docs(spark, ["\U00013000" * 16])).first()["score"] < -100
+    same = lattice.scores(docs(spark, ["one text"] * 3, [4, 4, None])).collect()
+    assert len(same) == 3 and len({x["score"] for x in same}) == 1
 
 
 # --- 9 ---------------------------------------------------------------------------------------------------------
