@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import catalog, scan, search
+from .operators.postings import Index
 from .operators.versions import best_version
 
 MAX_RESULTS = 100
 
 
 class Corpus:
-    """Chunks (id, page_id, library, version, sort_order, content, path, types), and, where there are, vectors (id, embedding) and pages (page_id, markdown)."""
+    """Chunks (id, page_id, library, version, sort_order, content, path, types), and, where there are, vectors (id, embedding), pages (page_id, markdown) and a stored index of the chunks that keeps types, library and version."""
 
-    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, pages: DataFrame | None = None):
-        self.chunks, self.vectors, self.pages = chunks, vectors, pages
+    def __init__(self, chunks: DataFrame, vectors: DataFrame | None = None, pages: DataFrame | None = None, index: Index | None = None):
+        self.chunks, self.vectors, self.pages, self.index = chunks, vectors, pages, index
 
-    def scoped(self, library: str | None = None, version: str | None = None) -> DataFrame:
-        out = self.chunks
+    @staticmethod
+    def of_scope(library: str | None, version: str | None) -> Column | None:
+        """The condition that a library and a version set."""
+        out = None
         if library is not None:
-            out = out.where(F.lower(F.trim("library")) == library.strip().lower())
+            out = F.lower(F.trim("library")) == library.strip().lower()
         if version is not None:
-            out = out.where(F.coalesce("version", F.lit("")) == version.strip().lower())
+            own = F.coalesce("version", F.lit("")) == version.strip().lower()
+            out = own if out is None else out & own
         return out
 
+    def scoped(self, library: str | None = None, version: str | None = None) -> DataFrame:
+        where = self.of_scope(library, version)
+        return self.chunks if where is None else self.chunks.where(where)
+
     def versions(self, library: str) -> list[str]:
         """The labels of one library."""
         return sorted(r[0] or "" for r in self.scoped(library).select("version").distinct().collect())
@@ -43,12 +51,13 @@ class Corpus:
             if label is None and not unversioned:
                 raise LookupError(f"no version of {library} fits {version}")
             version = label or ""
-        chunks = self.scoped(library, version)
+        chunks, where = self.scoped(library, version), self.of_scope(library, version)
+        index = self.index.where(where) if self.index and where is not None else self.index
         n = candidates or search.ranking.candidate_window(limit, 2, 1)
         if self.vectors is None or probe is None:
-            hits = search.full_text(chunks.select("id", "content", "types"), query, n)
+            hits = search.full_text(chunks.select("id", "content", "types"), query, n, index=index)
         else:
-            hits = search.hybrid(chunks.select("id", "content", "types"), self.vectors, query, probe, n)
+            hits = search.hybrid(chunks.select("id", "content", "types"), self.vectors, query, probe, n, index=index)
         return search.with_context(hits.select("id", "score"), chunks, limit=limit)
 
     def grep(self, pattern: str, library: str | None = None, version: str | None = None, limit: int = 30) -> DataFrame:

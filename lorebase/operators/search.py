@@ -1,4 +1,7 @@
-"""Full-text and hybrid search: postings, BM25 over weighted columns, KNN, rank fusion, clusters with context."""
+"""Full-text and hybrid search: BM25 over weighted columns, KNN, rank fusion, clusters with context.
+
+Words are looked up in a stored index (:mod:`.postings`) where the caller has one; without one a search reads the texts.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import context, ranking, vectors
+from . import context, postings, ranking, vectors
+from .postings import B, K1
 
-#: BM25 constants and the weights of the indexed columns.
-K1, B = 1.2, 0.75
+#: Weights of the indexed columns.
 WEIGHTS = {"content": 10.0, "title": 1.0, "url": 5.0, "path": 1.0}
 
 
@@ -72,14 +75,18 @@ def parsed(query: str, stemmed: bool = False) -> list[list[str]]:
     return out
 
 
-def full_text(docs: DataFrame, query: str, limit: int, id_col: str = "id", columns: list[str] | None = None, stemmed: bool = False) -> DataFrame:
-    """(id, score, rank) of the best ``limit`` rows. Structural chunks are left out before the limit. A blank query finds nothing."""
-    columns = columns or ["content"]
+def full_text(docs: DataFrame, query: str, limit: int, id_col: str = "id", columns: list[str] | None = None, stemmed: bool = False, index: postings.Index | None = None) -> DataFrame:
+    """(id, score, rank) of the best ``limit`` rows, from the index of docs if there is one. Structural chunks are left out before the limit. A blank query finds nothing."""
+    columns, stemmed = (list(index.columns), index.stemmed) if index else (columns or ["content"], stemmed)
     phrases = parsed(query, stemmed)
     if not phrases:
         return docs.limit(0).select(id_col, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
     keep = [id_col, *(["types"] if "types" in docs.columns else [])]
-    found = bm25(indexed(docs, columns, keep, stemmed), keep, columns, phrases, {c: WEIGHTS.get(c, 1.0) for c in columns} if len(columns) > 1 else None)
+    weights = {c: WEIGHTS.get(c, 1.0) for c in columns} if len(columns) > 1 else None
+    if index:
+        found = postings.bm25(index, phrases, keep[1:], weights).withColumnRenamed("id", id_col)
+    else:
+        found = bm25(indexed(docs, columns, keep, stemmed), keep, columns, phrases, weights)
     if "types" in keep:
         found = found.where(~F.array_contains("types", "structural"))
     best = found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), id_col).limit(limit)

@@ -148,13 +148,9 @@ def _(t):
 @query("agg_21_corpus_statistics", r"""WITH k AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), s AS (SELECT count(*) AS n_rows, round(avg(len(w)), 6) AS avg_length FROM k)
 SELECT word, count(DISTINCT doc_id) AS df, n_rows, avg_length FROM (SELECT doc_id, unnest(w) AS word FROM k), s GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3""")
 def _(t):
-    from ..functions import text
-
-    x = t.documents.select(text.tokens("text").alias("w"))
-    stats = x.agg(F.count("*").alias("n_rows"), F.round(F.avg(F.size("w")), 6).alias("avg_length"))  # one row
-    # a row's distinct words first: the count needs no distinct over the corpus
-    df = x.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).where("df >= 3")
-    return df.crossJoin(F.broadcast(stats))
+    index = t.index("documents")
+    stats = index.stats.select(F.col("_rows").alias("n_rows"), F.round("_avg_known", 6).alias("avg_length"))  # one row
+    return index.document_frequency().where("df >= 3").withColumnRenamed("term", "word").crossJoin(F.broadcast(stats))
 
 
 @query("agg_22_balance", "SELECT source, count(*) AS n, count(*) / (SELECT count(*) FROM documents) <= 0.5 AS balanced FROM documents GROUP BY 1")

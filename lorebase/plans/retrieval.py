@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context, scan, search
+from ..operators import context, postings, scan, search
 from ..registry import query
 from ..tables import CHUNKS
 
@@ -27,31 +27,29 @@ def docs(t):
 @query("ret_01_match", rf"WITH k AS (SELECT doc_id, ' ' || array_to_string({_W}, '  ') || ' ' AS x FROM documents WHERE lang = 'en') SELECT doc_id AS id FROM k WHERE contains(x, ' of  the ') OR contains(x, ' tion ')")
 def _(t):
     """The rows of one version that hold any phrase of the query."""
-    x = search.indexed(docs_of(t), ["content"], ["id"])
-    return x.where((search.phrase_count("x_content", ["of", "the"]) > 0) | (search.phrase_count("x_content", ["tion"]) > 0)).select("id")
-
-
-def docs_of(t):
-    return t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return postings.hits(t.index("documents").where("lang = 'en'"), [["of", "the"], ["tion"]]).select("id")
 
 
 @query("mth_02_bm25", f"WITH {_BM25} SELECT id, score FROM b")
 def _(t):
-    phrases = search.parsed(QUERY)
-    x = search.bm25(search.indexed(docs(t), ["content"], ["id"]), ["id"], ["content"], phrases)
+    x = postings.bm25(t.index("documents"), search.parsed(QUERY))
     return x.select("id", F.round("score", 6).alias("score"))
 
 
 @query("srt_03_full_text_top", f"WITH {_BM25} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b ORDER BY score DESC, id LIMIT 10")
 def _(t):
-    return search.full_text(docs(t), QUERY, 10)
+    return search.full_text(docs(t), QUERY, 10, index=t.index("documents"))
 
 
 @query("ret_02_full_text", rf"""WITH {CHUNKS}, k AS MATERIALIZED (SELECT id, types, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS x FROM (SELECT id, types, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM chunks)), c AS MATERIALIZED (SELECT id, types, n, ((length(x) - length(replace(x, ' with ', ''))) // 6) AS t FROM k),
 s AS (SELECT count(*) AS nr, avg(n) AS a, count(*) FILTER (t > 0) AS d FROM c), b AS (SELECT id, round(greatest(ln((nr - d + 0.5) / (d + 0.5)), 1e-6) * t * 2.2 / (t + 1.2 * (0.25 + 0.75 * n / a)), 6)::DOUBLE AS score FROM c, s WHERE t > 0 AND NOT list_contains(types, 'structural'))
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b ORDER BY score DESC, id LIMIT 20""")
 def _(t):
-    return search.full_text(t.chunks().select("id", "content", "types"), "with", 20)
+    return hits(t)
+
+
+def hits(t):
+    return search.full_text(t.chunks().select("id", "content", "types"), "with", 20, index=t.index("chunks"))
 
 
 _KNN = "v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) AS vec_rank FROM (SELECT e.vec_id, round(sqrt(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda x: (x[1] - x[2]) ** 2))), 6) AS d FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q) ORDER BY d, vec_id LIMIT 200)"
@@ -67,18 +65,18 @@ def parts(t):
 
 @query("ret_03_hybrid", f"{_HYBRID} SELECT id, vec_rank, fts_rank, score FROM h ORDER BY score DESC, id LIMIT 10")
 def _(t):
-    return search.hybrid(*parts(t), limit=10)
+    return search.hybrid(*parts(t), limit=10, index=t.index("documents"))
 
 
 @query("srt_01_top_by_fusion", f"{_HYBRID} SELECT id, score FROM h ORDER BY score DESC, id LIMIT 3")
 def _(t):
     # the window of candidates is that of ten results here as well
-    return search.hybrid(*parts(t), limit=10).orderBy(F.desc("score"), "id").limit(3).select("id", "score")
+    return search.hybrid(*parts(t), limit=10, index=t.index("documents")).orderBy(F.desc("score"), "id").limit(3).select("id", "score")
 
 
 @query("ret_04_degraded", f"WITH {_BM25}, f AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS fts_rank FROM b) SELECT id, NULL::BIGINT AS vec_rank, fts_rank, round(1.0::DOUBLE / (60 + fts_rank), 9) AS score FROM f ORDER BY score DESC, id LIMIT 10")
 def _(t):
-    return search.hybrid(docs(t), None, QUERY, None, limit=10)
+    return search.hybrid(docs(t), None, QUERY, None, limit=10, index=t.index("documents"))
 
 
 _CHUNK_HITS = rf"""k AS MATERIALIZED (SELECT id, page_id, sort_order, types, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS x FROM (SELECT id, page_id, sort_order, types, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+') AS w FROM chunks)), c AS MATERIALIZED (SELECT *, ((length(x) - length(replace(x, ' with ', ''))) // 6) AS t FROM k),
@@ -99,8 +97,7 @@ r AS (SELECT page_id, content, score FROM body JOIN (SELECT page_id, cluster, ma
 def _(t):
     """The flagship: full-text hits over chunks, clustered, with parents, neighbours and children, assembled and deduplicated."""
     chunks = t.chunks()
-    hits = search.full_text(chunks.select("id", "content", "types"), "with", 20)
-    return search.with_context(hits, chunks)
+    return search.with_context(hits(t), chunks)
 
 
 @query("ret_06_strategy", f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'markdown' ELSE 'hierarchical' END AS strategy FROM events")
@@ -114,8 +111,7 @@ def _(t):
 @query("ret_07_markdown_context", f"WITH {CHUNKS}, {_CHUNK_HITS} SELECT DISTINCT hit, id FROM near WHERE id IS NOT NULL")
 def _(t):
     chunks = t.chunks()
-    hits = search.full_text(chunks.select("id", "content", "types"), "with", 20).select("id")
-    own = chunks.join(F.broadcast(hits), "id").select("id", "page_id")  # the search limit bounds it
+    own = chunks.join(F.broadcast(hits(t).select("id")), "id").select("id", "page_id")  # the search limit bounds it
     return context.expanded(own, chunks)
 
 
@@ -190,7 +186,7 @@ def _(t):
 def _(t):
     from ..api import Corpus
 
-    return Corpus(t.chunks()).search("with", limit=5, candidates=20).select("page_id", "score", F.length("content").cast("long").alias("n"))
+    return Corpus(t.chunks(), index=t.index("chunks")).search("with", limit=5, candidates=20).select("page_id", "score", F.length("content").cast("long").alias("n"))
 
 
 @query("ret_19_grep", f"WITH {CHUNKS}, g AS (SELECT page_id, sort_order + 1 AS line, content, count(*) OVER () AS total, row_number() OVER (ORDER BY page_id, sort_order) AS r FROM chunks WHERE regexp_matches(content, '(?i)th[aeiou]+n ')) SELECT page_id, line, total, md5(content) AS line_md5 FROM g WHERE r <= 30")

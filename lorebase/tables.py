@@ -9,6 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import postings
+from .operators.postings import Index
+from .session import state_of
+
+_INDEXES: dict[tuple, Index] = {}
+
 
 class Tables:
     """``t.documents`` reads documents.parquet of the folder; columns and filters are pruned by the plan that uses it."""
@@ -21,6 +27,16 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def index(self, what: str) -> Index:
+        """The stored full-text index of ``documents`` (id, lang) or ``chunks`` (id, types, library, version), built at its first use in an application for the table as it is."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, what, state_of(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if key not in _INDEXES:
+            if what == "chunks":
+                _INDEXES[key] = postings.build(self.chunks(), ["content"], ["types", "library", "version"])
+            else:
+                _INDEXES[key] = postings.build(self.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), ["content"], ["lang"])
+        return _INDEXES[key]
+
     def chunks(self) -> DataFrame:
         """id, page_id, library, version, sort_order, content, path, level, types: one row a line."""
         lines = self.documents.select("doc_id", "source", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "content"))
