@@ -382,9 +382,9 @@ def word_scores(words: DataFrame, weights: np.ndarray, tokenizer: str) -> DataFr
         v, ten = vocabulary(tokenizer), math.log(10)
         for b in batches:
             score = measured([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()], v, sent.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(b.column(2).to_numpy(zero_copy_only=False) / ten), pa.array(score / ten)], names=["word", "c", "own", "lattice"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(b.column(2).to_numpy(zero_copy_only=False) / ten, pa.float32()), pa.array(score / ten)], names=["word", "c", "own", "lattice"])
 
-    return words.select("word", "c", "own").mapInArrow(run, "word binary, c long, own double, lattice double")
+    return words.select("word", "c", "own").mapInArrow(run, "word binary, c long, own float, lattice double")
 
 
 def scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -403,7 +403,7 @@ def scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     end_base = math.log10((ends + 0.1) / (total + 0.1 * (distinct + 1)))
     end_score, end_own = math.log10(weights[-1]), math.log10(vocabulary(tokenizer).first[-1])
     back = vocab.select("word", "shard", "place").join(known, "word").select("shard", F.lit(0).alias("kind"), "place", "c", "own", "lattice", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("times"))
-    both = back.union(texts.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("double"), "doc_id", "held_out", "at", "times"))
+    both = back.union(texts.select("shard", F.lit(1).alias("kind"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("float"), F.lit(None).cast("double"), "doc_id", "held_out", "at", "times"))
 
     def run(batches):
         parts = ("place", "c", "own", "lattice")
