@@ -7,11 +7,30 @@ from html.parser import HTMLParser
 
 from .urls import resolve
 
-#: Elements whose content is no text of the page, and those that frame pages.
-SILENT = frozenset("script style template noscript svg canvas iframe object form button input select textarea".split())
-FRAME = frozenset("nav footer header aside".split())
-#: Class and id words of what surrounds the text.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|cookie\w*|footer|header|menu|nav\w*|newsletter|popup|promo\w*|related|share|sharing|sidebar|social|toc|tooltip|skip-link|pagination)(?:$|[\s_-])", re.I)
+#: Elements whose content is no text of the page.
+SILENT = frozenset("script style template noscript svg canvas iframe object button input select textarea".split())
+#: Selectors of what surrounds the text.
+NOISE = """
+aside nav footer script style noscript svg link meta iframe header button input textarea select
+.ads .advertisement .banner .cookie-banner .cookie-consent .hidden .hide .mobile-menu .mobile-nav .modal .nav-bar .overlay .popup .promo .mw-editsection
+.search-bar .search-form .side-bar .sidebar .social-share .sticky .table-of-contents .toc
+#ads #banner #cookieBanner #mobile-menu #mobile-nav #modal #nav #overlay #popup #sidebar #socialMediaBox #stickyHeader #ad-container
+.ad-container .login-form .signup-form .tooltip .dropdown-menu .breadcrumb .pagination
+[role="banner"] [role="complementary"] [role="dialog"] [role="alertdialog"] [role="navigation"] [role="search"] [role="region"][aria-label*="skip"i] [aria-modal="true"]
+.noprint a.sr-only a.skip-link a.skip-nav a.screen-reader-only a.visually-hidden [aria-label="Breadcrumb"i] [itemtype*="BreadcrumbList"]
+#carbonads .carbonads .carbon-wrap .carbon-text .carbon-img .carbon-poweredby a[href*="srv.carbonads.net"]
+.bsa-promotion .bsa-cpc [id^="bsap_"] [id^="bsa-zone_"] img[src*="buysellads.com"] img[src*="buysellads.net"]
+.ethical-rtd .ethical-fixedfooter .ethical-bottom-right [data-ea-publisher] .keep-us-sustainable img[src*="ethicalads.io"]
+.adsbygoogle ins.adsbygoogle [id^="google_ads_iframe"] img[src*="googlesyndication.com"] img[src*="doubleclick.net"]
+.OUTBRAIN [data-widget-id^="OB_"] .taboola [id^="taboola-"]
+img[src*="bidr.io"] img[src*="adnxs.com"] img[src*="adsrvr.org"] img[src*="analytics.yahoo.com"]
+.DocSearch .DocSearch-Button .DocSearch-Container .DocSearch-Modal #docsearch [id^="docsearch-"] .algolia-autocomplete .algolia-docsearch-suggestion
+.md-search-result .md-search__output #searchbox #search-results .wy-side-search #st-search-input #st-results-container .st-default-search-input
+""".split()
+#: Fixed value: the share of a page's text that its main region holds at least.
+MAIN_SHARE = 0.5
+#: Elements nested deeper become siblings, as in browsers; no text is lost.
+MOST_DEEP = 256
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 
@@ -33,40 +52,91 @@ class Node:
                 todo += reversed(n.children)
         return "".join(out)
 
-    def find(self, *tags: str) -> list[Node]:
+    def walk(self) -> list[Node]:
+        """This element and all in it, in reading order."""
         out, todo = [], [self]
         while todo:
             n = todo.pop()
-            if n.tag in tags:
-                out.append(n)
+            out.append(n)
             todo += reversed([c for c in n.children if isinstance(c, Node)])
         return out
 
+    def find(self, *tags: str) -> list[Node]:
+        return [n for n in self.walk() if n.tag in tags]
+
+
+class Selectors:
+    """Simple selectors: an element, a class, an id, attributes (there, equal, beginning, holding; i: in either case), or an element with those."""
+
+    _PARTS = re.compile(r'([a-z][\w-]*)|\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([*^]?=)"([^"]*)"(i?))?\]')
+
+    def __init__(self, selectors: list[str]):
+        self.tags, self.classes, self.ids, self.rest = set(), set(), set(), []
+        for s in selectors:
+            parts = self._PARTS.findall(s)
+            if len(parts) == 1 and not parts[0][3]:
+                tag, cls, id_ = parts[0][:3]
+                (self.tags if tag else self.classes if cls else self.ids).add(tag or cls or id_)
+            else:
+                self.rest.append(parts)
+
+    def fits(self, n: Node) -> bool:
+        classes = n.attrs.get("class", "").split()
+        if n.tag in self.tags or not self.classes.isdisjoint(classes) or n.attrs.get("id") in self.ids:
+            return True
+        return bool(n.attrs) and any(all(self._fits(n, classes, *p) for p in parts) for parts in self.rest)
+
+    @staticmethod
+    def _fits(n: Node, classes: list[str], tag: str, cls: str, id_: str, attr: str, how: str, value: str, fold: str) -> bool:
+        if not attr:
+            return n.tag == tag if tag else cls in classes if cls else n.attrs.get("id") == id_
+        own = n.attrs.get(attr)
+        if own is None or not how:
+            return own is not None
+        if fold:
+            own, value = own.lower(), value.lower()
+        return own == value if how == "=" else own.startswith(value) if how == "^=" else value in own
+
+
+_NOISE = Selectors(NOISE)
+
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("#", {}, None)
+        self.depth = 0
+        self.flat: list[str] = []  # elements too deep to be entered, that wait for their ends
+
+    def up(self) -> None:
+        self.now, self.depth = self.now.parent, self.depth - 1
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and self.now.tag == "p":  # a block closes an open paragraph
-            self.now = self.now.parent
+            self.up()
         if tag == "li" and self.now.tag == "li":
-            self.now = self.now.parent
+            self.up()
         node = Node(tag, {k: v or "" for k, v in attrs}, self.now)
         self.now.children.append(node)
-        if tag not in VOID:
-            self.now = node
+        if tag in VOID:
+            return
+        if self.depth >= MOST_DEEP:
+            self.flat.append(tag)
+        else:
+            self.now, self.depth = node, self.depth + 1
 
     def handle_startendtag(self, tag, attrs):
         self.now.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.now))
 
     def handle_endtag(self, tag):
-        n = self.now
+        if tag in self.flat:
+            del self.flat[len(self.flat) - 1 - self.flat[::-1].index(tag) :]
+            return
+        n, up = self.now, 1
         while n.parent is not None and n.tag != tag:
-            n = n.parent
+            n, up = n.parent, up + 1
         if n.parent is not None:
-            self.now = n.parent
+            self.now, self.depth, self.flat = n.parent, self.depth - up, []
 
     def handle_data(self, data):
         self.now.children.append(data)
@@ -95,29 +165,47 @@ def links(root: Node, base: str) -> list[str]:
     return list(dict.fromkeys(x for x in found if x))
 
 
-def sanitized(root: Node) -> Node:
-    """The region that holds the text: noise goes, a main or article with half of what is left stays alone; a page that would be empty is kept as it was."""
-    before = len(root.text().strip())
+def visible(n: Node) -> int:
+    return len(re.sub(r"\s+", " ", n.text()).strip())
+
 
-    def clean(n: Node) -> Node:
-        out = Node(n.tag, n.attrs, None)
-        for c in n.children:
+def cleaned(root: Node) -> Node:
+    """A copy without what surrounds the text."""
+    out = Node(root.tag, root.attrs, None)
+    todo = [(root, out)]
+    while todo:
+        old, new = todo.pop()
+        for c in old.children:
             if isinstance(c, str):
-                out.children.append(c)
-            elif c.tag in SILENT or c.tag in FRAME or c.tag == "head" or NOISE.search(f"{c.attrs.get('class', '')} {c.attrs.get('id', '')}") or "hidden" in c.attrs:
-                continue
-            else:
-                out.children.append(clean(c))
-        return out
+                new.children.append(c)
+            elif c.tag not in SILENT and c.tag != "head" and not _NOISE.fits(c):
+                kept = Node(c.tag, c.attrs, new)
+                new.children.append(kept)
+                todo.append((c, kept))
+    return out
+
 
-    cleaned = clean(root)
-    size = len(cleaned.text().strip())
-    if before and not size:
+def sanitized(root: Node) -> Node:
+    """The text of the page: noise goes; where the page declares main regions and the largest holds half of what is left, they alone stay; a page that would be empty is kept as it was."""
+    out = cleaned(root)
+    size = visible(out)
+    if not size and visible(root):
         return root
-    for region in (*cleaned.find("main"), *cleaned.find("article")):
-        if len(region.text().strip()) * 2 >= size:
-            return region
-    return cleaned
+    regions = out.find("main") or [n for n in out.walk() if n.attrs.get("role") == "main" and n.tag not in ("html", "body")]
+    outer = []
+    for n in regions:
+        up = n.parent
+        while up is not None and up not in outer:
+            up = up.parent
+        if up is None:
+            outer.append(n)
+    if outer and size and max(map(visible, outer)) >= MAIN_SHARE * size:
+        if len(outer) == 1:
+            return outer[0]
+        both = Node("#", {}, None)
+        both.children = list(outer)
+        return both
+    return out
 
 
 def _inline(n: Node | str, base: str) -> str:
@@ -175,7 +263,7 @@ def _block(n: Node, base: str, depth: int = 0) -> list[str]:
         elif t == "pre":
             code = c.find("code")
             lang = re.search(r"(?:language|lang|highlight-source)-([\w+#-]+)", " ".join([c.attrs.get("class", ""), *(x.attrs.get("class", "") for x in code), c.attrs.get("data-language", "")]))
-            body = "".join("\n" if isinstance(x, Node) and x.tag == "br" else "" for x in ()) + c.text().strip("\n")
+            body = c.text().strip("\n")
             mark = "`" * max(3, max([0, *map(len, re.findall("`+", body))]) + 1)
             out.append(f"{mark}{lang[1] if lang else c.attrs.get('data-language', '')}\n{body}\n{mark}")
         elif t in ("ul", "ol"):

@@ -133,31 +133,107 @@ MISFILED = {
     "application/x-msdownload": "text/x-batch",
 }
 
-#: Languages whose name is not the type's own after ``text/x-``.
-LANGUAGES = _table("""
-typescript: text/x-typescript text/typescript application/typescript
-tsx: text/x-tsx
-javascript: text/javascript application/javascript application/x-javascript
-jsx: text/x-jsx
-c: text/x-c text/x-csrc text/x-chdr
-cpp: text/x-c++ text/x-c++src text/x-c++hdr
-groovy: text/x-groovy text/x-gradle
-css: text/css
-less: text/less
-bash: text/x-sh text/x-shellscript application/x-sh
-hcl: text/x-terraform text/x-hcl
-yaml: text/x-yaml text/yaml application/x-yaml application/yaml
-json: text/x-json application/json
-xml: text/x-xml text/xml application/xml application/xslt+xml application/xml-dtd application/wsdl+xml
-protobuf: text/x-proto
-latex: text/x-tex text/x-latex
-""")
-#: Languages named as their type after ``text/x-``.
-NAMED = (
-    "python cython go rust zig nim v crystal java kotlin scala swift dart csharp ruby php lua perl r haskell elm erlang elixir clojure scheme tcl batch julia "
-    "solidity move cairo vue svelte astro scss sass powershell rst asciidoc textile org pod rdoc wiki rmarkdown toml ini conf properties dotenv dockerfile makefile "
-    "cmake bazel buck sql graphql prisma thrift avro"
-).split()
+#: The language of each type of source code.
+LANGUAGES = {
+    "text/x-typescript": "typescript",
+    "text/typescript": "typescript",
+    "application/typescript": "typescript",
+    "text/x-tsx": "tsx",
+    "text/javascript": "javascript",
+    "application/javascript": "javascript",
+    "application/x-javascript": "javascript",
+    "text/x-jsx": "jsx",
+    "text/x-python": "python",
+    "text/x-cython": "cython",
+    "text/x-c": "c",
+    "text/x-csrc": "c",
+    "text/x-chdr": "c",
+    "text/x-c++": "cpp",
+    "text/x-c++src": "cpp",
+    "text/x-c++hdr": "cpp",
+    "text/x-go": "go",
+    "text/x-rust": "rust",
+    "text/x-zig": "zig",
+    "text/x-nim": "nim",
+    "text/x-v": "v",
+    "text/x-crystal": "crystal",
+    "text/x-java": "java",
+    "text/x-kotlin": "kotlin",
+    "text/x-scala": "scala",
+    "text/x-groovy": "groovy",
+    "text/x-gradle": "groovy",
+    "text/x-swift": "swift",
+    "text/x-dart": "dart",
+    "text/x-csharp": "csharp",
+    "text/x-ruby": "ruby",
+    "text/x-php": "php",
+    "text/x-lua": "lua",
+    "text/x-perl": "perl",
+    "text/x-r": "r",
+    "text/x-haskell": "haskell",
+    "text/x-elm": "elm",
+    "text/x-erlang": "erlang",
+    "text/x-elixir": "elixir",
+    "text/x-clojure": "clojure",
+    "text/x-scheme": "scheme",
+    "text/x-tcl": "tcl",
+    "text/x-batch": "batch",
+    "text/x-julia": "julia",
+    "text/x-solidity": "solidity",
+    "text/x-move": "move",
+    "text/x-cairo": "cairo",
+    "text/x-vue": "vue",
+    "text/x-svelte": "svelte",
+    "text/x-astro": "astro",
+    "text/css": "css",
+    "text/x-scss": "scss",
+    "text/x-sass": "sass",
+    "text/less": "less",
+    "text/x-sh": "bash",
+    "text/x-shellscript": "bash",
+    "application/x-sh": "bash",
+    "text/x-powershell": "powershell",
+    "text/x-rst": "rst",
+    "text/x-asciidoc": "asciidoc",
+    "text/x-textile": "textile",
+    "text/x-org": "org",
+    "text/x-pod": "pod",
+    "text/x-rdoc": "rdoc",
+    "text/x-wiki": "wiki",
+    "text/x-rmarkdown": "rmarkdown",
+    "text/x-toml": "toml",
+    "text/x-ini": "ini",
+    "text/x-conf": "conf",
+    "text/x-properties": "properties",
+    "text/x-dotenv": "dotenv",
+    "text/x-dockerfile": "dockerfile",
+    "text/x-makefile": "makefile",
+    "text/x-cmake": "cmake",
+    "text/x-bazel": "bazel",
+    "text/x-buck": "buck",
+    "text/x-terraform": "hcl",
+    "text/x-hcl": "hcl",
+    "text/x-yaml": "yaml",
+    "text/yaml": "yaml",
+    "application/x-yaml": "yaml",
+    "application/yaml": "yaml",
+    "text/x-json": "json",
+    "application/json": "json",
+    "text/x-xml": "xml",
+    "text/xml": "xml",
+    "application/xml": "xml",
+    "application/xslt+xml": "xml",
+    "application/xml-dtd": "xml",
+    "application/wsdl+xml": "xml",
+    "text/x-sql": "sql",
+    "text/x-graphql": "graphql",
+    "text/x-proto": "protobuf",
+    "text/x-prisma": "prisma",
+    "text/x-thrift": "thrift",
+    "text/x-avro": "avro",
+    "text/x-tex": "tex",
+    "text/x-latex": "latex",
+}
 
 #: Aliases of character sets.
 CHARSETS = {"iso-8859-1": "latin1", "iso_8859-1": "latin1", "latin-1": "latin1", "windows-1252": "cp1252", "cp-1252": "cp1252", "ms-ansi": "cp1252", "utf8": "utf-8", "unicode": "utf-8", "us-ascii": "ascii", "ascii": "ascii"}
@@ -217,9 +293,7 @@ def detect(path: Column | str) -> Column:
 
 
 def language(mime: Column | str) -> Column:
-    x = col(mime)
-    short = F.regexp_extract(x, r"^text/x-(.+)$", 1)
-    return mapped(x, LANGUAGES, F.when(short.isin(*NAMED), short).otherwise(F.lit("")))
+    return mapped(col(mime), LANGUAGES, F.lit(""))
 
 
 def is_source_code(mime: Column | str) -> Column:

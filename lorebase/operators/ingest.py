@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def winners(writes: DataFrame, keys: list[str]) -> DataFrame:
     """Of the writes of a page in one run (keys, seq, markdown flag ``is_markdown``, alternative flag ``extra``): Markdown over others, then a plain write over an alternative, then the last. Independent of the order of arrival but for the last rule."""
@@ -52,11 +54,20 @@ def collapsible(pages: DataFrame) -> DataFrame:
     return variant.join(pages.select("url", squeeze("markdown").alias("h")), ["url", "h"], "left_semi").select("page_id")
 
 
+def counted(rows: DataFrame, order: str) -> DataFrame:
+    """Adds ``n``, from 1 in the order of a column. Partitions of a sort are numbered by their sizes, so no task sees all rows."""
+    parts = stored(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "sorted")
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_size")).select("_part", before.alias("_before"))  # a row a partition
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.withColumn("_n", within).join(F.broadcast(sizes), "_part").select(*rows.columns, (F.col("_n") + F.col("_before")).cast("long").alias("n"))
+
+
 def numbered(names: DataFrame, known: DataFrame) -> DataFrame:
     """(id, name): known names with their ids, new ones after the highest, in order."""
     new = names.distinct().join(known.select("name"), "name", "left_anti")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))  # one row
-    fresh = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name"))).cast("long").alias("id"), "name")  # new names of one run
+    fresh = counted(new, "name").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).cast("long").alias("id"), "name")
     return known.select("id", "name").union(fresh)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as ops
 from ..registry import query
-from ..sources import listings, repositories
+from ..sources import archives, listings, repositories
 
 
 def pages(t):
@@ -39,10 +39,8 @@ def _(t):
 
 @query("sto_03_get_or_create", "WITH k AS (SELECT row_number() OVER (ORDER BY source) AS id, source AS name FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 0 AND source < 'src5')), n AS (SELECT DISTINCT source AS name FROM documents WHERE source NOT IN (SELECT name FROM k)) SELECT id, name FROM k UNION ALL SELECT (SELECT max(id) FROM k) + row_number() OVER (ORDER BY name), name FROM n")
 def _(t):
-    from pyspark.sql import Window
-
     known = t.documents.where("doc_id % 2 = 0 and source < 'src5'").select(F.col("source").alias("name")).distinct()
-    known = known.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")).cast("long").alias("id"), "name")  # one row a library
+    known = ops.counted(known, "name").select(F.col("n").alias("id"), "name")
     return ops.numbered(t.documents.select(F.col("source").alias("name")), known)
 
 
@@ -160,9 +158,10 @@ def _(t):
     return repositories.blobs(trees, "docs/").select(F.col("repo").cast("long").alias("page_id"), "path")
 
 
-@query("src_10_repository_files", "SELECT event_id, event_id % 3 < 2 AS readable FROM events")
+@query("src_10_repository_files", "SELECT event_id, event_id % 8 NOT IN (2, 5) AS readable FROM events")
 def _(t):
-    p = F.element_at(F.array(F.lit("a/B.MD"), F.lit("x/Dockerfile"), F.lit("x/y.png")), (F.col("event_id") % 3 + 1).cast("int"))
+    names = ("a/B.MD", "x/Dockerfile", "x/y.png", "a/.env.local", "b/poetry.lock", "b/blob.bin", "c/paper.pdf", "LICENSE.old")
+    p = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 8 + 1).cast("int"))
     return t.events.select("event_id", repositories.readable(p).alias("readable"))
 
 
@@ -187,16 +186,19 @@ def _(t):
     return listings.sitemap(t.pages.select("page_id", body.alias("body")), "body").select("page_id", "loc")
 
 
-@query("src_19_robots", "SELECT page_id, url AS sitemap FROM pages")
+@query("src_19_robots", "SELECT page_id, url AS sitemap FROM pages UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/map' || length(html) || '.xml' FROM pages WHERE page_id % 2 = 0")
 def _(t):
-    body = F.concat(F.lit("User-agent: *\n  Sitemap: "), "url", F.lit("\nDisallow: /x"))
+    """One or two lists a file, in either case and with spaces before, among comments and other rules."""
+    more = F.concat(F.lit("SITEMAP:"), F.regexp_extract("url", "^[a-z]+://[^/]+", 0), F.lit("/map"), F.length("html").cast("string"), F.lit(".xml\n"))
+    body = F.concat(F.lit("# Sitemap: none\nUser-agent: *\n  Sitemap: "), "url", F.lit("\nDisallow: /x\n"), F.when(F.col("page_id") % 2 == 0, more).otherwise(""))
     return listings.robots_sitemaps(t.pages.select("page_id", body.alias("body")), "body").select("page_id", "sitemap")
 
 
 @query("src_20_sitemap_tree")
 def _(t):
     """Sitemaps that list sitemaps, walked level by level; the walk's cases are held in a test."""
-    files = t.pages.select(F.col("url"), F.when(F.col("page_id") % 50 == 0, F.concat(F.lit("<sitemapindex><sitemap><loc>"), F.lead("url").over(listings.by_id()), F.lit("</loc></sitemap></sitemapindex>"))).otherwise(F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("#p</loc></url></urlset>"))).alias("body"))
+    after = t.pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("after"))
+    files = t.pages.join(after, "page_id", "left").select(F.col("url"), F.when(F.col("page_id") % 50 == 0, F.concat(F.lit("<sitemapindex><sitemap><loc>"), "after", F.lit("</loc></sitemap></sitemapindex>"))).otherwise(F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("#p</loc></url></urlset>"))).alias("body"))
     roots = t.pages.where("page_id % 50 = 0").select("url")
     return listings.walk_sitemaps(roots, files)
 
@@ -216,3 +218,134 @@ def _(t):
 def _(t):
     raw = F.concat(F.lit('{"docnames":["p'), F.col("page_id").cast("string"), F.lit('","index"]}'))
     return t.pages.select("page_id", F.explode(listings.sphinx_pages(raw)).alias("doc"))
+
+
+_BLOB_BODY = "coalesce(text, '')"
+
+
+@query("src_12_blob_pages", f"SELECT doc_id, 'd' || doc_id || '.txt' AS title, md5({_BLOB_BODY}) AS body, 0 AS n_links FROM documents")
+def _(t):
+    """The files of a repository's listing, from a snapshot of their contents."""
+    number = F.col("doc_id").cast("string")
+    repo = [F.lit("o").alias("owner"), F.concat(F.lit("r"), F.coalesce("source", F.lit(""))).alias("repo"), F.lit("main").alias("branch"), F.concat(F.lit("docs/d"), number, F.lit(".txt")).alias("path")]
+    blobs = t.documents.select(*repo).withColumn("url", F.concat_ws("/", F.lit("https://github.com"), "owner", "repo", F.lit("blob"), "branch", "path"))
+    contents = t.documents.select(*repo, F.lit("application/octet-stream").alias("mime"), F.coalesce("text", F.lit("")).alias("body"))
+    x = repositories.blob_pages(blobs, contents)
+    return x.select(F.regexp_extract("url", r"d(\d+)\.txt$", 1).cast("long").alias("doc_id"), "title", F.md5("markdown").alias("body"), F.size("links").alias("n_links"))
+
+
+@query("src_13_wiki_pages", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Home' ELSE 'P' || page_id END AS title, CASE WHEN page_id % 5 = 0 THEN 1 ELSE 2 END AS n_links FROM pages WHERE page_id % 7 > 0")
+def _(t):
+    """Pages of a wiki, its root among them; links into other repositories go, and so do pages of no wiki."""
+    number = F.col("page_id").cast("string")
+    url = F.concat(F.lit("https://github.com/o/r"), F.when(F.col("page_id") % 7 == 0, "/issues").otherwise(F.concat(F.lit("/wiki"), F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("/P"), number)))))
+    body = F.concat(F.lit('<p><a href="/o/r/wiki/X'), number, F.lit('">a</a> <a href="https://github.com/o/q/wiki/Y">b</a> <a href="Z#f">c</a></p>'), "html")
+    x = repositories.wiki_pages(t.pages.select("page_id", url.alias("url"), F.lit("text/html").alias("mime"), F.coalesce(body, F.lit("")).alias("body")))
+    mine = F.filter("links", lambda u: u.rlike(r"/wiki/X\d+$|/Z(?:#f)?$"))
+    return x.select("page_id", "title", F.size(mine).alias("n_links"))
+
+
+def packed(t, name: str, pack):
+    """Archives of fifty documents each, made in the tasks that read them: (path, content)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 50):
+                ids, texts = (b.slice(i, 50).column(k).to_pylist() for k in (0, 1))
+                data = pack([(f"docs/d{k}.txt", (x or "").encode()) for k, x in zip(ids, texts, strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name.replace('*', str(ids[0]))}"]), pa.array([data], pa.binary())], names=["path", "content"])
+
+    return t.documents.select("doc_id", "text").mapInArrow(run, "path string, content binary")
+
+
+def zip_of(files) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("docs/", b"")
+        z.writestr("../out.txt", b"leads out")
+        for name, data in files:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def tar_of(files) -> bytes:
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as z:
+        for name, data in [*files, ("/etc/out.txt", b"leads out")]:
+            i = tarfile.TarInfo(name)
+            i.size = len(data)
+            z.addfile(i, io.BytesIO(data))
+    return out.getvalue()
+
+
+_BYTES = "octet_length(encode(coalesce(text, '')))"
+_UNPACKED = f"SELECT doc_id, {_BYTES}::BIGINT AS length, sha256(coalesce(text, '')) AS body FROM documents"
+
+
+def inner(x):
+    return x.select(F.regexp_extract("path", r"/docs/d(\d+)\.txt$", 1).cast("long").alias("doc_id"), "length", F.sha2("content", 256).alias("body"))
+
+
+@query("src_03_local_directory", f"SELECT sum({_BYTES} + 1)::BIGINT AS bytes FROM documents")
+def _(t):
+    """Every file of a folder at any depth: the texts written as lines, and read back as files."""
+    from ..session import shared_path
+
+    folder = shared_path(t.spark, "directory")
+    t.documents.select(F.coalesce("text", F.lit("")).alias("text")).write.text(f"{folder}/sub/deep")
+    return archives.files(t.spark, folder, "*.txt").agg(F.sum("length").cast("long").alias("bytes"))
+
+
+@query("src_04_local_archive", f"SELECT doc_id, {_BYTES}::BIGINT AS length, md5(coalesce(text, '')) AS body FROM documents")
+def _(t):
+    """The text files of an archive as pages."""
+    from ..operators import convert
+
+    x = convert.converted(convert.source_pages(archives.unpacked(packed(t, "/data/a*.zip", zip_of))))
+    return x.select(F.regexp_extract("url", r"d(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.octet_length("markdown").cast("long").alias("length"), F.md5("markdown").alias("body"))
+
+
+@query("src_05_archive_member", f"{_UNPACKED} WHERE doc_id = (SELECT min(doc_id) FROM documents)")
+def _(t):
+    """One file of one archive, by the address of both; other archives stay closed."""
+    first = t.documents.agg(F.min("doc_id")).first()[0]
+    made = packed(t, "/data/a*.zip", zip_of)
+    holder = archives.unpacked(made).where(F.col("path").endswith(f"/docs/d{first}.txt")).select("path").first()[0]
+    return inner(archives.member(made, holder))
+
+
+@query("src_06_zip", _UNPACKED)
+def _(t):
+    return inner(archives.unpacked(packed(t, "/data/a*.zip", zip_of)))
+
+
+@query("src_07_tar", _UNPACKED)
+def _(t):
+    return inner(archives.unpacked(packed(t, "/data/a*.tar.gz", tar_of)))
+
+
+@query("src_08_root_archive", "SELECT doc_id, 'https://h.org/docs.zip/docs/d' || doc_id || '.txt' AS url FROM documents")
+def _(t):
+    """A download that is an archive stands for its files; told by its type or its address."""
+    got = packed(t, "https://h.org/docs.zip", zip_of).withColumn("mime", F.lit("application/octet-stream"))
+    rest = t.pages.select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"), F.lit("text/html").alias("mime"))
+    x = archives.unpacked(archives.root_archives(got.unionByName(rest)))
+    return x.select(F.regexp_extract("path", r"d(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.col("path").alias("url"))
+
+
+@query("snk_03_compact", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def _(t):
+    """A table of many small files written anew in few."""
+    from ..session import shared_path
+
+    many, few = shared_path(t.spark, "many"), shared_path(t.spark, "few")
+    t.documents.repartition(32).write.parquet(many)
+    ops.compacted(t.spark.read.parquet(many), few, 2)
+    return t.spark.read.parquet(few).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

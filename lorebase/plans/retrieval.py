@@ -115,11 +115,12 @@ def _(t):
     return context.expanded(own, chunks)
 
 
-_SUB = f"WITH {CHUNKS}, h AS (SELECT id, page_id, path FROM chunks WHERE sort_order % 8 = 5)"
+_SUB = f"WITH {CHUNKS}, h AS (SELECT id, page_id, path FROM chunks)"
 
 
 def picked(t):
-    return t.chunks().where("sort_order % 8 = 5").select("id", "page_id", "path")
+    """Every chunk as a hit."""
+    return t.chunks().select("id", "page_id", "path")
 
 
 @query("ret_08_hierarchy_single", f"{_SUB} SELECT h.id, md5(string_agg(c.content, '' ORDER BY c.sort_order)) AS body FROM h JOIN chunks c ON c.page_id = h.page_id AND c.path[1] = h.path[1] GROUP BY h.id")
@@ -170,7 +171,7 @@ def _(t):
     return t.chunks().where(F.col("path") == F.array(F.lit("s1"), F.lit("a"))).select("id")
 
 
-@query("ret_14_fallback", f"{_SUB} SELECT id AS hit, id FROM h UNION SELECT h.id, (SELECT q.id FROM chunks q JOIN chunks o ON o.id = h.id WHERE q.page_id = h.page_id AND q.path = h.path[1:-2] AND q.sort_order < o.sort_order ORDER BY q.sort_order DESC LIMIT 1) FROM h")
+@query("ret_14_fallback", f"{_SUB} SELECT id AS hit, id FROM h UNION SELECT h.id, q.id FROM (SELECT id, page_id, path[1:-2] AS up, sort_order FROM chunks WHERE len(path) > 0) h ASOF LEFT JOIN chunks q ON q.page_id = h.page_id AND q.path = h.up AND q.sort_order < h.sort_order")
 def _(t):
     chunks = t.chunks().select("id", "page_id", "sort_order", "path")
     up = context.parents(chunks).join(picked(t).select("id"), "id", "left_semi").select(F.col("id").alias("hit"), F.col("parent").alias("id"))

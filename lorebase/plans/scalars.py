@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +68,20 @@ def _(t):
     return u(t).select("page_id", urls.included("url", ["**/en/**"], ["/utm_|page=/"]).alias("admitted"))
 
 
-@query("flt_15_default_exclusions")
+def _like(glob: str) -> str:
+    """A glob of the default list in RE2's terms."""
+    if glob.startswith("/"):
+        return glob[1:-1]
+    parts = re.split(r"(\*\*/|\*\*|\*)", glob)
+    return "^/?" + "".join({"**/": "(.*/)?", "**": ".*", "*": "[^/]*"}.get(x, re.escape(x)) for x in parts) + "$"
+
+
+_LEFT_OUT = "|".join(f"({_like(g)})" for g in urls.DEFAULT_EXCLUDES).replace("'", "''")
+
+
+@query("flt_15_default_exclusions", f"SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{_LEFT_OUT}') AND NOT regexp_matches({_PQ}, '{_LEFT_OUT}')")
 def _(t):
-    """Pages kept under the default file and folder globs; held against the table by a test."""
+    """Pages kept under the default file and folder globs."""
     return u(t).where(urls.included("url")).select("page_id", "url")
 
 
@@ -275,7 +288,8 @@ def _(t):
     return u(t).select("page_id", urls.is_markdown_twin(F.concat(urls.path("url"), end)).alias("twin"))
 
 
-@query("url_05_strip_markdown", r"""SELECT page_id, CASE WHEN regexp_matches(x, '[^/](\.md\.txt|\.md)$') THEN regexp_replace(x, '([^/])(\.md\.txt|\.md)$', '\1') ELSE x END AS page FROM (
+@query("url_05_strip_markdown", r"""SELECT page_id, CASE WHEN regexp_matches(x, '(\.md\.txt|\.md)$') AND regexp_matches(x, '[^/]\.[^/.]*$') THEN
+    CASE WHEN regexp_matches(x, '[^/]\.md\.txt$') THEN regexp_replace(x, '\.md\.txt$', '') ELSE regexp_replace(x, '\.[^/.]*$', '') END ELSE x END AS page FROM (
   SELECT page_id, regexp_replace(url, '[?#].*$', '') || CASE page_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.md.txt' ELSE '' END AS x FROM pages)""")
 def _(t):
     end = F.when(F.col("page_id") % 4 == 0, ".md").when(F.col("page_id") % 4 == 1, ".md.txt").otherwise("")

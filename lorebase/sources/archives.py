@@ -62,3 +62,9 @@ def unpacked(archives: DataFrame) -> DataFrame:
 def member(archives: DataFrame, virtual: str) -> DataFrame:
     """The one entry that ``archive/inner`` names."""
     return unpacked(archives.where(F.lit(virtual).startswith(F.concat("path", F.lit("/"))))).where(F.col("path") == virtual)
+
+
+def root_archives(responses: DataFrame) -> DataFrame:
+    """Of responses (path: the address, content, mime) those that are archives, by type or by the ending of the address."""
+    typed = F.col("mime").isin("application/zip", "application/x-zip-compressed", "application/x-tar", "application/gzip", "application/x-gzip")
+    return responses.where(typed | F.lower(F.regexp_replace("path", r"[?#].*$", "")).rlike(r"\.(?:zip|tar|tgz|tar\.gz)$")).select("path", "content")

@@ -11,10 +11,6 @@ from ..functions import text, urls
 MAX_SITEMAPS = 500
 
 
-def by_id():
-    return Window.partitionBy(F.lit(0)).orderBy("page_id")
-
-
 def strategy(u: str | Column) -> Column:
     """file, npm, pypi, github or web."""
     x, h = urls.col(u), urls.host(u)
