@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path, stored  # noqa: F401
+
 #: Fixed value: A-Z lower-cased, every ASCII byte but 0-9 and a-z to a space; bytes of multi-byte characters stay.
 ALNUM_TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -88,38 +88,6 @@ def own_names(columns: Iterable[str], n: int) -> list[str]:
     return [f"{start}{i}" for i in range(n)]
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new folder in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, as in tests; a cluster has none that all executors share, and raises."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="lorebase-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders of the shared folder through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def text_parts(batch: pa.RecordBatch, limit: int, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch of about ``limit`` bytes of text each, with the texts as bytes: only a slice's are Python objects at a time."""
     col = batch.column(batch.schema.get_field_index(name))
