@@ -221,7 +221,7 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def tree_nodes(reps: DataFrame, trees: range, similarity: float, small: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
-    """Nodes to compare, as (node, rep, label): those of 2 to ``small`` documents, and those that stay larger. Nodes whose documents are all in one component are left out. Large nodes branch on while that parts them: a family of copies keeps together, and is left to :func:`chunked`."""
+    """Nodes to compare, as (node, rep, label): those of 2 to ``small`` documents, and those that stay larger, with their size ``n``. Nodes whose documents are all in one component are left out. Large nodes branch on while that parts them: a family of copies keeps together, and is left to :func:`chunked`."""
     rows = branch(reps.select("rep", "label", "sig"), similarity, trees)
     found, large, before = None, None, None
     for level in range(1, levels + 1):
@@ -232,7 +232,7 @@ def tree_nodes(reps: DataFrame, trees: range, similarity: float, small: int, lev
         n = per.where(F.col("n") > small).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not n:
             return found, None
-        large = stored(rows.join(per.where(F.col("n") > small).select("node"), "node"), "large")
+        large = stored(rows.join(per.where(F.col("n") > small), "node"), "large")
         if level == levels or (before is not None and n > before / 2):
             return found, large
         before = n
@@ -248,10 +248,12 @@ def small_groups(nodes: DataFrame) -> DataFrame:
 
 
 def chunked(large: DataFrame, parted: bool, chunk: int) -> DataFrame:
-    """Groups from nodes (node, rep, label) of any size. Not parted (each document is its own component): chunks with the node's four pivots in each. Parted: what lies outside the node's largest component, in blocks, against every chunk."""
+    """Groups from nodes (node, rep, label, and their size ``n``, if it is known) of any size. Not parted (each document is its own component): chunks with the node's four pivots in each. Parted: what lies outside the node's largest component, in blocks, against every chunk."""
     n = large.groupBy("node").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("rep", F.lit(10 + i)), "rep", "label")).alias(f"p{i}") for i in range(4)])
     n = n.withColumn("chunks", F.ceil(F.col("n") / chunk))
-    rows = large.join(n.select("node", "chunks"), "node").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")))
+    known = "n" in large.columns
+    rows = large.withColumn("chunks", F.ceil(F.col("n") / chunk)).drop("n") if known else large.join(n.select("node", "chunks"), "node")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")))
     every = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
     zero = F.lit(0).cast("long")
     if not parted:
@@ -389,7 +391,7 @@ def linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int, trees:
     if family is None:
         return None
     family = family.select(F.col("label").alias("node"), "rep", F.col("rep").alias("label"))
-    big = stored(family.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("node"), "big")
+    big = stored(family.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "big")
     if big.isEmpty():
         return components(compare(with_sets(small_groups(family), docs, shingle), percent), reps.sparkSession)
     large = family.join(big, "node")
