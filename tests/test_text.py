@@ -267,3 +267,38 @@ def test_api(spark):
         c.search("x", exact=True)
     with pytest.raises(LookupError):
         Corpus(chunks.where("version = '2.0.0'")).search("x", "lib", "1.0")
+
+
+def test_stored_index_agrees_with_texts(spark):
+    """BM25 from postings and from the texts themselves: phrases, repeats, columns, stemming, filters, empty rows."""
+    import random
+
+    from lorebase.operators import postings, search
+
+    r = random.Random(21)
+    word = lambda: r.choice(["the", "running", "run", "of", "a", "été"])
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 30))), r.choice([None, word()]), r.choice("xy")) for i in range(60)] + [(60, None, None, "x"), (61, "a a a a a", "a", "y")]
+    docs = spark.createDataFrame(rows, "id long, content string, title string, lang string")
+    phrases = [["of", "the"], ["a", "a"], ["run"], ["the", "the", "the"]]
+    for stemmed in (False, True):
+        index = postings.build(docs, ["content", "title"], ["lang"], stemmed=stemmed)
+        for where in (None, "lang = 'x'"):
+            own, some = (index, docs) if where is None else (index.where(where), docs.where(where))
+            got = {(x["id"], round(x["score"], 9)) for x in postings.bm25(own, phrases, weights=search.WEIGHTS).collect()}
+            want = {(x["id"], round(x["score"], 9)) for x in search.bm25(search.indexed(some, ["content", "title"], ["id"], stemmed), ["id"], ["content", "title"], phrases, search.WEIGHTS).collect()}
+            assert got == want and want
+    assert postings.bm25(postings.build(docs.limit(0), ["content"]), [["a"]]).count() == 0
+
+
+def test_deep_and_noisy_html():
+    from lorebase.functions import convert
+
+    page = convert.html_page("<div>" * 5000 + "deep text" + "</div>" * 5000 + "<p>after", "")
+    assert "deep text" in page["markdown"] and "after" in page["markdown"]
+    kept = '<p class="adsense-free">stay</p><div class="related">also</div>'
+    noise = '<a class="sr-only" href="#x">skip</a><span class="sr-only">label</span><div aria-label="BREADCRUMB">way</div><div role="region" aria-label="Skip to it">go</div><ins data-ea-publisher="x">ad</ins>'
+    assert convert.html_page(kept + noise, "")["markdown"].split() == ["stay", "also", "label"]
+    both = "<div>outside</div><main><p>first region holds most of the words here</p></main><main><p>second</p></main>"
+    assert "outside" not in convert.html_page(both, "")["markdown"] and "second" in convert.html_page(both, "")["markdown"]
+    small = "<div>" + "outside words " * 20 + "</div><main>tiny</main>"
+    assert "outside" in convert.html_page(small, "")["markdown"]
