@@ -3,15 +3,15 @@
 1. Every ``length``-byte window of a text is owned by its smallest 64-bit hash of ``gram`` bytes (the leftmost of equal
    ones), which is the same for equal windows. The windows one anchor owns are a run; with the bytes they cover they
    are a piece. Only a hash of each piece is shuffled.
-2. One aggregation by anchor hash tells anchors that stand alone (nothing to remove), anchors with one piece in several
-   places (all their windows repeat) and anchors with different pieces.
-3. Of the last kind each distinct piece is cut from one text and sent to its anchor's bucket. A bucket's pieces are
-   parsed into phrases at places that four bytes tell, named in the order of their bytes, and their suffixes are sorted
-   by :func:`group_suffix_array`. Windows are equal if the bytes up to the first phrase start and the suffix there are.
+2. One aggregation by anchor hash drops anchors that stand alone: their windows repeat nowhere.
+3. Of every other anchor each distinct piece is cut from the text that holds it first and, if it stands in several
+   places, from the one that holds it last too, and sent to its anchor's bucket. A bucket's pieces are parsed into
+   phrases at places that four bytes tell, named in the order of their bytes, and their suffixes are sorted by
+   :func:`group_suffix_array`. Windows are equal if the bytes up to the first phrase start and the suffix there are.
 4. The places that repeat come together by document and are cut from the text.
 
-Everything is judged on the input. Hashes only choose what is compared and tell equal pieces of 64 bits and equal
-length apart; the bytes of unequal pieces are compared themselves.
+Everything is judged on the input. Every removal is found in a suffix array; hashes choose what is compared, and a
+piece's third and further copies follow from the first two by 128 bits of anchor and piece.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; each row is a text of its own, also
 if its doc_id repeats or is null; an empty table gives no rows; other columns are not read.
@@ -250,21 +250,26 @@ def by_tail(byte: np.ndarray, starts: np.ndarray, end: np.ndarray, order: np.nda
     piece_start = offset[np.searchsorted(offset, order, "right") - 1]
     at = np.searchsorted(starts, order)
     ahead = np.where(at > 0, starts[np.maximum(at - 1, 0)], -1)
-    room = order - np.maximum(piece_start, ahead + 1)  # bytes before it with no phrase start among them
+    room = np.minimum(order - np.maximum(piece_start, ahead + 1), length - 4)  # bytes before it with no phrase start among them
+    reach = end[order] - order
+    live = np.arange(len(order))  # suffixes with room for the tail, in order, and the hashes of their tails
     tail_hash = np.zeros(len(order), np.uint64)
-    for tail in range(0, min(length - 4, int(room.max(initial=0))) + 1):
+    for tail in range(int(room.max(initial=-1)) + 1):
         if tail:
-            tail_hash = np.where(room >= tail, mix64(tail_hash + byte[np.maximum(order - tail, 0)].astype(np.uint64) + np.uint64(tail << 8)), tail_hash)
+            keep = room[live] >= tail
+            live, tail_hash = live[keep], tail_hash[keep]
+            tail_hash = mix64(tail_hash + byte[order[live] - tail].astype(np.uint64) + np.uint64(tail << 8))
         need = length - tail
-        fit = np.flatnonzero((room >= tail) & (end[order] - order >= need))
-        if not len(fit):
+        fit = reach[live] >= need
+        which = live[fit]
+        if not len(which):
             continue
-        group = np.cumsum(lcp < need)[fit]
-        sort = np.lexsort((tail_hash[fit], group))
-        g, t = group[sort], tail_hash[fit][sort]
-        same = (g[1:] == g[:-1]) & (t[1:] == t[:-1])
+        group = np.cumsum(lcp < need)[which].astype(np.uint64)
+        key = mix64(tail_hash[fit] ^ mix64(group))
+        sort = np.argsort(key)
+        same = key[sort[1:]] == key[sort[:-1]]
         twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        flags[order[fit[sort[twice]]] - tail] = True
+        flags[order[which[sort[twice]]] - tail] = True
     return flags
 
 
@@ -309,36 +314,39 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_pieces(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(key, piece, body): the bytes of each wanted piece, from the text that was named as its owner."""
+    """(key, piece, copy, body): the bytes of each wanted copy of a piece, from the text that was named as its owner."""
 
     def run(batches):
         for b in batches:
-            key, piece, body, size = [], [], [], 0
+            key, piece, copy, body, size = [], [], [], [], 0
             for t, cuts in zip(column_bytes(b), b.column(b.schema.get_field_index("cuts")).to_pylist(), strict=True):
                 for c in cuts:
                     key.append(c["key"])
                     piece.append(c["piece"])
+                    copy.append(c["copy"])
                     body.append(t[c["first"] : c["first"] + c["n"] - 1 + length])
                     size += len(body[-1])
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(body, pa.binary())], names=["key", "piece", "body"])
-                    key, piece, body, size = [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(body, pa.binary())], names=["key", "piece", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(copy, pa.int32()), pa.array(body, pa.binary())], names=["key", "piece", "copy", "body"])
+                    key, piece, copy, body, size = [], [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(copy, pa.int32()), pa.array(body, pa.binary())], names=["key", "piece", "copy", "body"])
 
-    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "piece", "first", "n")).alias("cuts"))
-    return docs.select("rid", "text").join(cuts, "rid").select("text", "cuts").mapInArrow(run, "key long, piece long, body binary")
+    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "piece", "copy", "first", "n")).alias("cuts"))
+    return docs.select("rid", "text").join(cuts, "rid").select("text", "cuts").mapInArrow(run, "key long, piece long, copy int, body binary")
 
 
 def compare_pieces(pieces: DataFrame, length: int, parts: int) -> DataFrame:
-    """(key, piece, runs): windows of the piece that also start in another one, as runs [start, end). Pieces of a key lie together in a partition; a batch of whole keys is sorted at once."""
+    """(key, piece, runs): windows of a piece's first copy that also start in another piece or copy, as runs [start, end). Pieces of a key lie together in a partition; a batch of whole keys is sorted at once."""
 
     def run(batches):
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
 
         def flush(rows):
             keys, ids, runs = [], [], []
             if rows:
-                for (k, p, _), hit in zip(rows, repeats([r[2] for r in rows], length), strict=True):
+                for (k, p, copy, _), hit in zip(rows, repeats([r[3] for r in rows], length), strict=True):
+                    if copy:
+                        continue
                     flips = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                     if len(flips):
                         keys.append(k)
@@ -349,12 +357,12 @@ def compare_pieces(pieces: DataFrame, length: int, parts: int) -> DataFrame:
 
         size = 0
         for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "piece", "body")), strict=True):
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "piece", "copy", "body")), strict=True):
                 if size > BUCKET_BYTES and held[-1][0] != row[0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[3])
         yield flush(held)
 
     dealt = pieces.repartition(parts, "key").sortWithinPartitions("key")
@@ -365,23 +373,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     """(rid, start, end): runs of window starts whose windows also start elsewhere, for docs of (rid, text)."""
     spark = docs.sparkSession
     rows = stored(anchor_rows(docs, length, gram), "anchors")
-    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("piece").alias("p0"), F.max("piece").alias("p1"))
     # written, so that both sides of the join below have exchanges of their own, which skew handling can split at a hot key
-    keys = stored(keys.where("m > 1").select("key", (F.col("p0") != F.col("p1")).alias("mixed")), "keys")
+    keys = stored(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "keys")
     hot = stored(rows.join(keys, "key"), "repeated")
-    mixed = hot.where("mixed")
-    distinct = mixed.groupBy("key", "piece").agg(F.count("*").alias("m"), F.min(F.struct("rid", "first", "n")).alias("o"))
-    distinct = stored(distinct.select("key", "piece", "m", "o.rid", "o.first", "o.n"), "pieces")
-    total = distinct.agg(F.sum(F.col("n") + length)).first()[0] or 0
+    place = F.struct("rid", "first", "n")
+    distinct = hot.groupBy("key", "piece").agg(F.count("*").alias("m"), F.min(place).alias("a"), F.max(place).alias("z"))
+    copies = distinct.select("key", "piece", F.posexplode(F.when(F.col("m") > 1, F.array("a", "z")).otherwise(F.array("a"))).alias("copy", "o"))
+    copies = stored(copies.select("key", "piece", "copy", "o.rid", "o.first", "o.n"), "pieces")
+    total = copies.agg(F.sum(F.col("n") + length)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * BUCKET_BYTES)))
-    found = compare_pieces(cut_pieces(distinct.select("rid", "key", "piece", "first", "n"), docs, length), length, parts)
-    # a piece that stands in several places repeats as a whole, whatever the others hold
-    several = distinct.where("m > 1").select("key", "piece", "n")
-    partly = found.join(several, ["key", "piece"], "left_anti").select("key", "piece", F.explode("runs").alias("r")).select("key", "piece", F.col("r.start").alias("a"), F.col("r.end").alias("b"))
-    of_piece = stored(partly.union(several.select("key", "piece", F.lit(0).cast("long"), "n")), "runs")
-    whole = hot.where("not mixed").select("rid", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("end"))
-    part = mixed.join(of_piece, ["key", "piece"]).select("rid", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b")).alias("end"))
-    return whole.union(part)
+    found = compare_pieces(cut_pieces(copies, docs, length), length, parts)
+    of_piece = stored(found.select("key", "piece", F.explode("runs").alias("r")).select("key", "piece", "r.start", "r.end"), "runs")
+    return hot.join(of_piece, ["key", "piece"]).select("rid", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
