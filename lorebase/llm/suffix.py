@@ -8,10 +8,12 @@
    places, from the one that holds it last too, and sent to its anchor's bucket. A bucket's pieces are parsed into
    phrases at places that four bytes tell, named in the order of their bytes, and their suffixes are sorted by
    :func:`group_suffix_array`. Windows are equal if the bytes up to the first phrase start and the suffix there are.
+   An anchor with more than ``crowd`` pieces (a line that stands in very many contexts) would fill one bucket: its
+   windows are counted by hash instead, pre-aggregated and dealt by window.
 4. The places that repeat come together by document and are cut from the text.
 
-Everything is judged on the input. Every removal is found in a suffix array; hashes choose what is compared, and a
-piece's third and further copies follow from the first two by 128 bits of anchor and piece.
+Everything is judged on the input. Outside crowded anchors every removal is found in a suffix array; hashes choose what
+is compared, and a piece's third and further copies follow from the first two by 128 bits of anchor and piece.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; each row is a text of its own, also
 if its doc_id repeats or is null; an empty table gives no rows; other columns are not read.
@@ -23,13 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, mix64, stored
 
 LENGTH = 400
 GRAM = 128
+#: Different pieces of one anchor that are sorted in one bucket; at most 2 * length bytes each.
+CROWD = 2000
 #: Bytes of pieces that a bucket holds on average.
 BUCKET_BYTES = 1_000_000
 #: Window starts worked on at once, so that long texts need no more memory.
@@ -369,7 +373,32 @@ def compare_pieces(pieces: DataFrame, length: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, piece long, runs array<struct<start:bigint,end:bigint>>")
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def count_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """(key, piece, start, end) as of :func:`compare_pieces`, for pieces (key, piece, copy, body) with ``m`` places in column copy: windows of one anchor are equal if their hashes are."""
+
+    def run(batches):
+        powers = Powers()
+        for b in batches:
+            key, piece, m = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "piece", "copy"))
+            hashes = []
+            for t in column_bytes(b, "body"):
+                part = np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)
+                up, down = powers.of(len(part) + 1)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[:-1])])
+                hashes.append(mix64((total[length:] - total[:-length]) * down[: len(part) - length + 1]).view(np.int64))
+            n = [len(h) for h in hashes]
+            for i, j in zip(range(0, len(n), 200), range(200, len(n) + 200, 200), strict=True):
+                cols = (*(np.repeat(c[i:j], n[i:j]) for c in (key, piece, m)), np.concatenate([np.arange(x) for x in n[i:j]]), np.concatenate(hashes[i:j]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "piece", "m", "at", "h"])
+
+    windows = stored(pieces.mapInArrow(run, "key long, piece long, m int, at long, h long"), "windows")
+    twice = stored(windows.groupBy("key", "h").agg(F.sum("m").alias("m")).where("m > 1").select("key", "h"), "twice")
+    island = F.col("at") - F.row_number().over(Window.partitionBy("key", "piece").orderBy("at"))  # a piece has few windows
+    hits = windows.join(twice, ["key", "h"]).select("key", "piece", "at", island.alias("island"))
+    return hits.groupBy("key", "piece", "island").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).drop("island")
+
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(rid, start, end): runs of window starts whose windows also start elsewhere, for docs of (rid, text)."""
     spark = docs.sparkSession
     rows = stored(anchor_rows(docs, length, gram), "anchors")
@@ -378,12 +407,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     hot = stored(rows.join(keys, "key"), "repeated")
     place = F.struct("rid", "first", "n")
     distinct = hot.groupBy("key", "piece").agg(F.count("*").alias("m"), F.min(place).alias("a"), F.max(place).alias("z"))
-    copies = distinct.select("key", "piece", F.posexplode(F.when(F.col("m") > 1, F.array("a", "z")).otherwise(F.array("a"))).alias("copy", "o"))
-    copies = stored(copies.select("key", "piece", "copy", "o.rid", "o.first", "o.n"), "pieces")
+    copies = distinct.select("key", "piece", "m", F.posexplode(F.when(F.col("m") > 1, F.array("a", "z")).otherwise(F.array("a"))).alias("copy", "o"))
+    copies = stored(copies.select("key", "piece", "m", "copy", "o.rid", "o.first", "o.n"), "pieces")
+    crowded = stored(copies.where("copy = 0").groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
+    few = copies.join(crowded, "key", "left_anti")
     total = copies.agg(F.sum(F.col("n") + length)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * BUCKET_BYTES)))
-    found = compare_pieces(cut_pieces(copies, docs, length), length, parts)
-    of_piece = stored(found.select("key", "piece", F.explode("runs").alias("r")).select("key", "piece", "r.start", "r.end"), "runs")
+    found = compare_pieces(cut_pieces(few, docs, length), length, parts)
+    of_piece = found.select("key", "piece", F.explode("runs").alias("r")).select("key", "piece", "r.start", "r.end")
+    if not crowded.isEmpty():
+        many = copies.where("copy = 0").join(crowded, "key", "left_semi").withColumn("copy", F.least("m", F.lit(2)).cast("int"))
+        of_piece = of_piece.union(count_windows(cut_pieces(many, docs, length), length))
+    of_piece = stored(of_piece, "runs")
     return hot.join(of_piece, ["key", "piece"]).select("rid", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
 
 
@@ -395,10 +430,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "numbered")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row a document: doc_id, text, and ``runs`` of repeated window starts [start, end), sorted."""
     rows = numbered(docs.select("doc_id", "text"))
-    runs = repeated_runs(rows.select("rid", "text"), length, gram)
+    runs = repeated_runs(rows.select("rid", "text"), length, gram, crowd)
     per = runs.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
     return rows.join(per, "rid", "left").select("doc_id", "text", F.coalesce("runs", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("runs"))
 
@@ -423,7 +458,7 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """One row a document: doc_id, ``kept`` (the remaining bytes, which may start or end inside a character), n_bytes, and ``spans`` of removed bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -440,7 +475,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 names=["doc_id", "kept", "n_bytes", "spans"],
             )
 
-    return removals(docs, length, gram).mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>")
+    return removals(docs, length, gram, crowd).mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, spans array<struct<start:bigint,end:bigint>>")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -600,13 +600,30 @@ def test_repeats_of_pieces():
         assert [list(map(bool, g)) for g in suffix.repeats(pieces, length)] == [[c[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in pieces]
 
 
-@pytest.mark.parametrize("length,gram", [(400, 128), (60, 20)])
-def test_suffix_dedup(spark, length, gram):
+@pytest.mark.parametrize("length,gram,crowd", [(400, 128, 2000), (60, 20, 2000), (60, 20, 1), (60, 20, 3)])
+def test_suffix_dedup(spark, length, gram, crowd):
     texts = mixed(11)
-    got = {r["doc_id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.deduplicated(docs(spark, texts), length, gram).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.deduplicated(docs(spark, texts), length, gram, crowd).collect()}
     assert [got[i] for i in range(len(texts))] == suffix.brute([(t or "").encode() for t in texts], length)
 
 
+def test_suffix_dedup_by_arrays_alone(spark, monkeypatch):
+    """With the arrays finding nothing, nothing is removed."""
+    t = "an exact copy of some length " * 20
+    assert all(r["spans"] for r in suffix.deduplicated(docs(spark, [t, t])).collect())
+    monkeypatch.setattr(suffix, "compare_pieces", lambda pieces, length, parts: spark.createDataFrame([], "key long, piece long, runs array<struct<start:bigint,end:bigint>>"))
+    assert all(not r["spans"] for r in suffix.deduplicated(docs(spark, [t, t])).collect())
+
+
+def test_suffix_dedup_line_in_many_contexts(spark):
+    r = random.Random(13)
+    line = "".join(r.choice("abcdefgh ") for _ in range(430))
+    texts = ["".join(r.choice("stuvwxyz ") for _ in range(300)) + line + "".join(r.choice("stuvwxyz ") for _ in range(300)) for _ in range(60)]
+    for crowd in (2000, 5):
+        spans = [[(s["start"], s["end"]) for s in x["spans"]] for x in suffix.deduplicated(docs(spark, texts), crowd=crowd).orderBy("doc_id").collect()]
+        assert spans == [[tuple(y) for y in suffix.covered([{"start": i, "end": i + 1} for i in range(290, 345) if sum(t[i : i + 400] in u for u in texts) > 1], 400)] for t in texts]
+
+
 def test_suffix_dedup_odd_rows(spark):
     t = "some words " * 60
     rows = suffix.deduplicated(docs(spark, [t, t[:-3] + "xyz", None], [7, 7, None])).collect()
