@@ -8,12 +8,13 @@
    places, from the one that holds it last too, and sent to its anchor's bucket. A bucket's pieces are parsed into
    phrases at places that four bytes tell, named in the order of their bytes, and their suffixes are sorted by
    :func:`group_suffix_array`. Windows are equal if the bytes up to the first phrase start and the suffix there are.
-   An anchor with more than ``crowd`` pieces (a line that stands in very many contexts) would fill one bucket: its
-   windows are counted by hash instead, pre-aggregated and dealt by window.
+   An anchor with more than ``crowd`` pieces (a line that stands in very many contexts) is salted over several buckets;
+   what its windows share across buckets is told by their hashes, once a bucket each.
 4. The places that repeat come together by document and are cut from the text.
 
-Everything is judged on the input. Outside crowded anchors every removal is found in a suffix array; hashes choose what
-is compared, and a piece's third and further copies follow from the first two by 128 bits of anchor and piece.
+Everything is judged on the input. Every removal is found in a suffix array, but for what a crowded anchor's buckets
+share with each other; hashes choose what is compared, and a piece's third and further copies follow from the first two
+by 128 bits of anchor and piece.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; each row is a text of its own, also
 if its doc_id repeats or is null; an empty table gives no rows; other columns are not read.
@@ -318,83 +319,88 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def cut_pieces(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """(key, piece, copy, body): the bytes of each wanted copy of a piece, from the text that was named as its owner."""
+    """(key, salt, piece, copy, body): the bytes of each wanted copy of a piece, from the text that was named as its owner."""
 
     def run(batches):
         for b in batches:
-            key, piece, copy, body, size = [], [], [], [], 0
+            key, salt, piece, copy, body, size = [], [], [], [], [], 0
             for t, cuts in zip(column_bytes(b), b.column(b.schema.get_field_index("cuts")).to_pylist(), strict=True):
                 for c in cuts:
                     key.append(c["key"])
+                    salt.append(c["salt"])
                     piece.append(c["piece"])
                     copy.append(c["copy"])
                     body.append(t[c["first"] : c["first"] + c["n"] - 1 + length])
                     size += len(body[-1])
                 if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(copy, pa.int32()), pa.array(body, pa.binary())], names=["key", "piece", "copy", "body"])
-                    key, piece, copy, body, size = [], [], [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), pa.array(copy, pa.int32()), pa.array(body, pa.binary())], names=["key", "piece", "copy", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(salt, pa.int32()), pa.array(piece, pa.int64()), pa.array(copy, pa.int32()), pa.array(body, pa.binary())], names=["key", "salt", "piece", "copy", "body"])
+                    key, salt, piece, copy, body, size = [], [], [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(salt, pa.int32()), pa.array(piece, pa.int64()), pa.array(copy, pa.int32()), pa.array(body, pa.binary())], names=["key", "salt", "piece", "copy", "body"])
 
-    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "piece", "copy", "first", "n")).alias("cuts"))
-    return docs.select("rid", "text").join(cuts, "rid").select("text", "cuts").mapInArrow(run, "key long, piece long, copy int, body binary")
+    cuts = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "salt", "piece", "copy", "first", "n")).alias("cuts"))
+    return docs.select("rid", "text").join(cuts, "rid").select("text", "cuts").mapInArrow(run, "key long, salt int, piece long, copy int, body binary")
+
+
+def window_hashes(body: bytes, length: int, powers: Powers) -> np.ndarray:
+    part = np.frombuffer(body, np.uint8).astype(np.uint64) + np.uint64(1)
+    up, down = powers.of(len(part) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[:-1])])
+    return mix64((total[length:] - total[:-length]) * down[: len(part) - length + 1]).view(np.int64)
 
 
 def compare_pieces(pieces: DataFrame, length: int, parts: int) -> DataFrame:
-    """(key, piece, runs): windows of a piece's first copy that also start in another piece or copy, as runs [start, end). Pieces of a key lie together in a partition; a batch of whole keys is sorted at once."""
+    """(key, piece, runs, windows): windows of a piece's first copy that also start in another piece or copy, as runs
+    [start, end). Pieces of a key and salt lie together in a partition; a batch of whole buckets is sorted at once. With
+    a salt of 0 or more, windows has the others, (at, h), and once a bucket (-1, h) for those in runs."""
 
     def run(batches):
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, int, bytes]] = []
+        powers = Powers()
 
         def flush(rows):
-            keys, ids, runs = [], [], []
+            keys, ids, runs, windows, told, bucket = [], [], [], [], set(), None
             if rows:
-                for (k, p, copy, _), hit in zip(rows, repeats([r[3] for r in rows], length), strict=True):
+                for (k, salt, p, copy, body), hit in zip(rows, repeats([r[4] for r in rows], length), strict=True):
                     if copy:
                         continue
                     flips = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    if len(flips):
-                        keys.append(k)
-                        ids.append(p)
-                        runs.append([{"start": a, "end": z} for a, z in zip(flips[::2].tolist(), flips[1::2].tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, kind)], names=["key", "piece", "runs"])
+                    if salt < 0 and not len(flips):
+                        continue
+                    keys.append(k)
+                    ids.append(p)
+                    runs.append([{"start": a, "end": z} for a, z in zip(flips[::2].tolist(), flips[1::2].tolist(), strict=True)])
+                    windows.append(None)
+                    if salt >= 0:
+                        if bucket != (k, salt):
+                            bucket, told = (k, salt), set()
+                        h = window_hashes(body, length, powers)
+                        new = set(h[hit].tolist()) - told
+                        told |= new
+                        alone = np.flatnonzero(~hit)
+                        windows[-1] = [{"at": a, "h": x} for a, x in zip(alone.tolist(), h[alone].tolist(), strict=True)] + [{"at": -1, "h": x} for x in new]
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            window = pa.list_(pa.struct([("at", pa.int64()), ("h", pa.int64())]))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, span), pa.array(windows, window)], names=["key", "piece", "runs", "windows"])
 
         size = 0
         for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "piece", "copy", "body")), strict=True):
-                if size > BUCKET_BYTES and held[-1][0] != row[0]:
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "salt", "piece", "copy", "body")), strict=True):
+                if size > BUCKET_BYTES and held[-1][:2] != row[:2]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         yield flush(held)
 
-    dealt = pieces.repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, piece long, runs array<struct<start:bigint,end:bigint>>")
+    dealt = pieces.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt")
+    return dealt.mapInArrow(run, "key long, piece long, runs array<struct<start:bigint,end:bigint>>, windows array<struct<at:bigint,h:bigint>>")
 
 
-def count_windows(pieces: DataFrame, length: int) -> DataFrame:
-    """(key, piece, start, end) as of :func:`compare_pieces`, for pieces (key, piece, copy, body) with ``m`` places in column copy: windows of one anchor are equal if their hashes are."""
-
-    def run(batches):
-        powers = Powers()
-        for b in batches:
-            key, piece, m = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("key", "piece", "copy"))
-            hashes = []
-            for t in column_bytes(b, "body"):
-                part = np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)
-                up, down = powers.of(len(part) + 1)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * up[:-1])])
-                hashes.append(mix64((total[length:] - total[:-length]) * down[: len(part) - length + 1]).view(np.int64))
-            n = [len(h) for h in hashes]
-            for i, j in zip(range(0, len(n), 200), range(200, len(n) + 200, 200), strict=True):
-                cols = (*(np.repeat(c[i:j], n[i:j]) for c in (key, piece, m)), np.concatenate([np.arange(x) for x in n[i:j]]), np.concatenate(hashes[i:j]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "piece", "m", "at", "h"])
-
-    windows = stored(pieces.mapInArrow(run, "key long, piece long, m int, at long, h long"), "windows")
-    twice = stored(windows.groupBy("key", "h").agg(F.sum("m").alias("m")).where("m > 1").select("key", "h"), "twice")
+def across_buckets(windows: DataFrame) -> DataFrame:
+    """(key, piece, start, end): of windows (key, piece, at, h), each once a bucket, those that several buckets hold; rows whose at is -1 only tell that a bucket holds h."""
+    twice = stored(windows.groupBy("key", "h").agg(F.count("*").alias("m")).where("m > 1").select("key", "h"), "twice")
     island = F.col("at") - F.row_number().over(Window.partitionBy("key", "piece").orderBy("at"))  # a piece has few windows
-    hits = windows.join(twice, ["key", "h"]).select("key", "piece", "at", island.alias("island"))
+    hits = windows.where("at >= 0").join(twice, ["key", "h"]).select("key", "piece", "at", island.alias("island"))
     return hits.groupBy("key", "piece", "island").agg(F.min("at").alias("start"), (F.max("at") + 1).alias("end")).drop("island")
 
 
@@ -407,18 +413,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd
     hot = stored(rows.join(keys, "key"), "repeated")
     place = F.struct("rid", "first", "n")
     distinct = hot.groupBy("key", "piece").agg(F.count("*").alias("m"), F.min(place).alias("a"), F.max(place).alias("z"))
-    copies = distinct.select("key", "piece", "m", F.posexplode(F.when(F.col("m") > 1, F.array("a", "z")).otherwise(F.array("a"))).alias("copy", "o"))
-    copies = stored(copies.select("key", "piece", "m", "copy", "o.rid", "o.first", "o.n"), "pieces")
-    crowded = stored(copies.where("copy = 0").groupBy("key").count().where(F.col("count") > crowd).select("key"), "crowded")
-    few = copies.join(crowded, "key", "left_anti")
+    copies = distinct.select("key", "piece", F.posexplode(F.when(F.col("m") > 1, F.array("a", "z")).otherwise(F.array("a"))).alias("copy", "o"))
+    copies = stored(copies.select("key", "piece", "copy", "o.rid", "o.first", "o.n"), "pieces")
+    crowded = copies.where("copy = 0").groupBy("key").count().where(F.col("count") > crowd)
+    crowded = stored(crowded.select("key", F.ceil(F.col("count") / crowd).cast("int").alias("salts")), "crowded")
+    copies = copies.join(crowded, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("piece"), "salts"), F.lit(-1)))
     total = copies.agg(F.sum(F.col("n") + length)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * BUCKET_BYTES)))
-    found = compare_pieces(cut_pieces(few, docs, length), length, parts)
+    found = stored(compare_pieces(cut_pieces(copies, docs, length), length, parts), "found")
     of_piece = found.select("key", "piece", F.explode("runs").alias("r")).select("key", "piece", "r.start", "r.end")
     if not crowded.isEmpty():
-        many = copies.where("copy = 0").join(crowded, "key", "left_semi").withColumn("copy", F.least("m", F.lit(2)).cast("int"))
-        of_piece = of_piece.union(count_windows(cut_pieces(many, docs, length), length))
-    of_piece = stored(of_piece, "runs")
+        windows = found.where("windows is not null").select("key", "piece", F.explode("windows").alias("w")).select("key", "piece", "w.at", "w.h")
+        of_piece = stored(of_piece.union(across_buckets(windows)), "runs")
     return hot.join(of_piece, ["key", "piece"]).select("rid", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
 
 

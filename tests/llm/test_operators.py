@@ -611,7 +611,7 @@ def test_suffix_dedup_by_arrays_alone(spark, monkeypatch):
     """With the arrays finding nothing, nothing is removed."""
     t = "an exact copy of some length " * 20
     assert all(r["spans"] for r in suffix.deduplicated(docs(spark, [t, t])).collect())
-    monkeypatch.setattr(suffix, "compare_pieces", lambda pieces, length, parts: spark.createDataFrame([], "key long, piece long, runs array<struct<start:bigint,end:bigint>>"))
+    monkeypatch.setattr(suffix, "compare_pieces", lambda pieces, length, parts: spark.createDataFrame([], "key long, piece long, runs array<struct<start:bigint,end:bigint>>, windows array<struct<at:bigint,h:bigint>>"))
     assert all(not r["spans"] for r in suffix.deduplicated(docs(spark, [t, t])).collect())
 
 
