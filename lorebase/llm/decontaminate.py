@@ -12,7 +12,8 @@ driver and a task hold one block, and a larger benchmark takes more blocks, each
 
 Defined cases: null or wordless texts have no words, no hits; an item without words has no window; of repeated item ids
 each row counts, the id is listed once; repeated document rows each get a row; null item ids are not listed but hit;
-an empty benchmark hits nothing; other columns are not read.
+an empty benchmark hits nothing; other columns are not read; very long items and texts, also such that repeat a few
+words throughout, take time near linear in their length.
 """
 
 from __future__ import annotations
@@ -113,48 +114,79 @@ def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def bound(seq: np.ndarray, order: np.ndarray, q: np.ndarray, starts: np.ndarray, size: np.ndarray, upper: bool) -> np.ndarray:
-    """For each query (``size`` words of q from its start): suffixes in order that are less (upper: or start with it)."""
+class Shared:
+    """How many words two places of a shard and of a block of items share, exactly and in bounded time.
+
+    Words are compared one by one; of those behind the first ``FREE`` of a match up to ``WORK`` for each word held. Long
+    matches in texts that repeat themselves would take more; the rest then goes by names of runs of 1, 2, 4, ... words,
+    which are equal where the runs are, so that a match takes as many steps as its length has bits."""
+
+    FREE, WORK = 32, 32
+
+    def __init__(self, seq: np.ndarray, other: np.ndarray, depth: int):
+        self.text = np.concatenate([seq, other])
+        self.other = len(seq)  # where the block's words start
+        self.depth, self.work, self.names = depth, self.WORK * len(self.text), None
+
+    def runs(self) -> list[np.ndarray]:
+        if self.names is None:
+            self.names = [self.text.astype(np.int32)]
+            step = 1
+            while 2 * step <= self.depth:
+                now, ahead = self.names[-1], np.zeros(len(self.text), np.int64)
+                ahead[: max(0, len(now) - step)] = now[step:]
+                key = (now.astype(np.int64) << 32) | ahead
+                self.names.append(np.unique(key, return_inverse=True)[1].astype(np.int32))
+                step *= 2
+        return self.names
+
+    def prefix(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Words shared from places a and b on, ``most`` at most; so many words from b on are none of them 0."""
+        got = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(most > 0)
+        k = 0
+        while len(live) and (k < self.FREE or self.work > 0):
+            self.work -= len(live) * (k >= self.FREE)
+            k += 1
+            live = live[self.text[a[live] + got[live]] == self.text[b[live] + got[live]]]
+            got[live] += 1
+            live = live[got[live] < most[live]]
+        if len(live):
+            for k, names in reversed(list(enumerate(self.runs()))):  # at most depth words, so each length of run comes once at most
+                at = live[most[live] - got[live] >= 1 << k]
+                at = at[names[a[at] + got[at]] == names[b[at] + got[at]]]
+                got[at] += 1 << k
+        return got
+
+
+def bound(shared: Shared, order: np.ndarray, starts: np.ndarray, size: np.ndarray, upper: bool) -> np.ndarray:
+    """For each query (``size`` words from its start): suffixes in order that are less (upper: or start with it)."""
     lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(order), np.int64)
-    last = len(seq) - 1
     while True:
         open_ = np.flatnonzero(lo < hi)
         if not len(open_):
             return lo
         mid = (lo[open_] + hi[open_]) // 2
         at, qa, m = order[mid], starts[open_], size[open_]
+        got = shared.prefix(at, qa, m)
         less = np.full(len(open_), upper)  # equal in all words
-        live = np.arange(len(open_))
-        k = 0
-        while len(live):
-            a, b = seq[np.minimum(at[live] + k, last)], q[qa[live] + k]
-            differ = a != b
-            less[live[differ]] = a[differ] < b[differ]
-            k += 1
-            live = live[~differ & (m[live] > k)]
+        differ = got < m
+        less[differ] = shared.text[(at + got)[differ]] < shared.text[(qa + got)[differ]]
         lo[open_[less]] = mid[less] + 1
         hi[open_[~less]] = mid[~less]
 
 
-def longest(seq: np.ndarray, order: np.ndarray, other: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each suffix of ``other`` (``left`` words from its start): words of its longest match in seq, whose suffixes are in order, and one place of it."""
+def longest(shared: Shared, order: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix (``left`` words from its start): words of its longest match with the suffixes in order, and one place of it."""
     n = len(starts)
     best, place = np.zeros(n, np.int64), np.full(n, -1, np.int64)
     if not len(order) or not n:
         return best, place
-    at = bound(seq, order, other, starts, left, False)
-    last = len(seq) - 1
+    at = bound(shared, order, starts, left, False)
     for near in (np.minimum(at, len(order) - 1), np.maximum(at - 1, 0)):  # the neighbours in the order share most
-        pos = order[near]
-        got = np.zeros(n, np.int64)
-        live = np.arange(n)
-        while len(live):
-            same = seq[np.minimum(pos[live] + got[live], last)] == other[starts[live] + got[live]]
-            live = live[same]
-            got[live] += 1
-            live = live[got[live] < left[live]]
+        got = shared.prefix(order[near], starts, left)
         better = got > best
-        best[better], place[better] = got[better], pos[better]
+        best[better], place[better] = got[better], order[near][better]
     return best, place
 
 
@@ -171,14 +203,15 @@ def named(texts: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray,
     return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(starts)
 
 
-def windows(seq: np.ndarray, order: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+def windows(shared: Shared, order: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(place in seq, number of a query suffix) for each occurrence of each distinct window. A place holds as many as there are window lengths at most."""
-    size, _ = longest(seq, order, q.seq, q.starts, q.left)
+    starts = shared.other + q.starts
+    size, _ = longest(shared, order, starts, q.left)
     has = np.flatnonzero((q.size > 0) & (size >= q.size))
     if not len(has):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lo = bound(seq, order, q.seq, q.starts[has], q.size[has], False)
-    hi = bound(seq, order, q.seq, q.starts[has], q.size[has], True)
+    lo = bound(shared, order, starts[has], q.size[has], False)
+    hi = bound(shared, order, starts[has], q.size[has], True)
     # equal windows have equal ranges; the first stands for all
     _, first = np.unique(np.stack([lo, hi, q.size[has]]), axis=1, return_index=True)
     n = hi[first] - lo[first]
@@ -186,12 +219,12 @@ def windows(seq: np.ndarray, order: np.ndarray, q: Queries) -> tuple[np.ndarray,
     return order[np.repeat(lo[first], n) + within], np.repeat(has[first], n)
 
 
-def extents(seq: np.ndarray, place: np.ndarray, suffix: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+def extents(shared: Shared, seq: np.ndarray, place: np.ndarray, suffix: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(places, words): the distinct hit places, and of each the longest match with an item that holds a window there."""
     at, back = np.unique(place, return_inverse=True)
     zero = np.flatnonzero(seq == 0)
     left = np.minimum(zero[np.searchsorted(zero, at)] - at, q.depth)
-    size, _ = longest(q.seq, q.order, seq, at, left)
+    size, _ = longest(shared, shared.other + q.order, at, left)
     window = np.zeros(len(at), np.int64)
     np.maximum.at(window, back, q.size[suffix])
     # shorter matches hold no window but that of a short item
@@ -226,7 +259,8 @@ class Hits:
 def shard_hits(texts: list[bytes], q: Queries) -> list[Hits]:
     seq, starts = named(texts, q.vocabulary)
     order = suffix_array(seq, q.depth)
-    place, suffix = windows(seq, order, q)
+    shared = Shared(seq, q.seq, q.depth)
+    place, suffix = windows(shared, order, q)
     edge = np.zeros(len(seq) + 1, np.int64)
     np.add.at(edge, place, 1)
     np.add.at(edge, place + q.size[suffix], -1)
@@ -238,7 +272,7 @@ def shard_hits(texts: list[bytes], q: Queries) -> list[Hits]:
         of.setdefault(d, set()).update(q.items[c])
     best: dict[int, tuple[int, int]] = {}
     if len(place):
-        at, size = extents(seq, place, suffix, q)
+        at, size = extents(shared, seq, place, suffix, q)
         doc = of_place(at)
         sort = np.lexsort((at, -size, doc))
         first = sort[np.concatenate([[True], doc[sort][1:] != doc[sort][:-1]])]
@@ -330,7 +364,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SH
                 base = 0
                 for q in each_block(sent):
                     seq, starts = named(texts[i:j], q.vocabulary)
-                    size, place = longest(seq, suffix_array(seq, q.depth), q.seq, q.starts, q.left)
+                    shared = Shared(seq, q.seq, q.depth)
+                    size, place = longest(shared, suffix_array(seq, q.depth), shared.other + q.starts, q.left)
                     got = np.flatnonzero(size)
                     doc = np.searchsorted(starts, place[got], "right") - 1
                     first = np.searchsorted(q.item, np.arange(len(q.ids)))

@@ -266,6 +266,30 @@ def test_decontamination(spark, options):
     assert decontaminate.contamination(docs(spark, texts), bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_shared_words_by_names_of_runs(monkeypatch):
+    """Long matches go by names of runs; the result is that of comparing word by word."""
+    r = random.Random(12)
+    few = lambda n: " ".join(r.choice("ab") for _ in range(n))
+    for n in (1, 9, 40, 150):
+        items = [(1, few(n)), (2, "a b " * n), (3, "a " * n), (4, few(3)), (5, "")]
+        texts = [x.encode() for x in (few(2 * n), "b a " * 2 * n, "a " * 3 * n, f"{items[0][1]} c {items[0][1]} b", "", few(5))]
+        found = []
+        for free, work in ((10**9, 0), (0, 0), (3, 1)):
+            monkeypatch.setattr(decontaminate.Shared, "FREE", free)
+            monkeypatch.setattr(decontaminate.Shared, "WORK", work)
+            found.append(decontaminate.shard_hits(texts, decontaminate.queries(items)))
+        assert found[0] == found[1] == found[2]
+        assert [(h.longest, h.at) for h in found[1]] == [plain_longest(t.decode(), items) for t in texts]
+
+
+def test_decontamination_of_long_repeating_text():
+    text = "lorem ipsum dolor " * 20_000
+    began = time.perf_counter()
+    (h,) = decontaminate.shard_hits([text.encode()], decontaminate.queries([(1, text)]))
+    assert (h.words, h.runs, h.items, h.longest, h.at) == (60_000, [(0, 60_000)], ["1"], 60_000, 0)
+    assert time.perf_counter() - began < 30
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------
 
 
