@@ -247,10 +247,16 @@ def small_groups(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("node").alias("gid"), F.lit(False).alias("only_first"), F.lit(False).alias("first"), "rep", "label")
 
 
+def of_nodes(rows: DataFrame, what: str) -> DataFrame:
+    """A table of one row a node, written, and broadcast up to BROADCAST_ROWS rows: a large node's documents then join it where they lie, not all in one task."""
+    rows = stored(rows, what)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def chunked(large: DataFrame, parted: bool, chunk: int) -> DataFrame:
     """Groups from nodes (node, rep, label, and their size ``n``, if it is known) of any size. Not parted (each document is its own component): chunks with the node's four pivots in each. Parted: what lies outside the node's largest component, in blocks, against every chunk."""
     n = large.groupBy("node").agg(F.count("*").alias("n"), *[F.min(F.struct(F.xxhash64("rep", F.lit(10 + i)), "rep", "label")).alias(f"p{i}") for i in range(4)])
-    n = n.withColumn("chunks", F.ceil(F.col("n") / chunk))
+    n = of_nodes(n.withColumn("chunks", F.ceil(F.col("n") / chunk)), "sizes")
     known = "n" in large.columns
     rows = large.withColumn("chunks", F.ceil(F.col("n") / chunk)).drop("n") if known else large.join(n.select("node", "chunks"), "node")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("chunks")))
@@ -262,8 +268,8 @@ def chunked(large: DataFrame, parted: bool, chunk: int) -> DataFrame:
         picked = picked.select("node", every("chunks").alias("chunk"), zero.alias("block"), "p.rep", "p.label", F.lit(True).alias("first"))
     else:
         main = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("main"))
-        out = rows.join(main, "node").where("label <> main")
-        many = out.groupBy("node").agg(F.ceil(F.count("*") / chunk).alias("blocks"))
+        out = rows.join(of_nodes(main, "main"), "node").where("label <> main")
+        many = of_nodes(out.groupBy("node").agg(F.ceil(F.count("*") / chunk).alias("blocks")), "blocks")
         out = out.join(many, "node").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(6)), F.col("blocks")))
         picked = out.select("node", every("chunks").alias("chunk"), "block", "rep", "label", F.lit(True).alias("first"))
         plain = rows.join(many, "node").select("node", "chunk", every("blocks").alias("block"), "rep", "label", F.lit(False).alias("first"))
@@ -371,7 +377,7 @@ def across_trees(large: DataFrame, labels: DataFrame | None) -> DataFrame:
     # a document gets its label once, not once a tree
     rows = relabelled(large.groupBy("rep").agg(F.collect_list("node").alias("node")), labels).withColumn("node", F.explode("node"))
     per = rows.groupBy("node", "label").agg(F.count("*").alias("k")).groupBy("node").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", -F.col("label"))).alias("main"))
-    return rows.join(per.where("labels > 1").select("node", "main"), "node").select(F.col("main").alias("node"), "rep", "label").distinct()
+    return rows.join(of_nodes(per.where("labels > 1").select("node", "main"), "parted_nodes"), "node").select(F.col("main").alias("node"), "rep", "label").distinct()
 
 
 def families(reps: DataFrame, trees: int, percent: int, small: int, levels: int, chunk: int) -> DataFrame | None:
@@ -381,7 +387,9 @@ def families(reps: DataFrame, trees: int, percent: int, small: int, levels: int,
     if large is None:
         return components(likely(groups, reps, percent), reps.sparkSession)
     labels = components(likely(groups.union(chunked(large, False, chunk)), reps, percent), reps.sparkSession)
-    again = likely(chunked(across_trees(large, labels), True, chunk), reps, percent)
+    # written, as chunked reads it many times
+    parted = stored(across_trees(large, labels), "parted")
+    again = likely(chunked(parted, True, chunk), reps, percent)
     return components(as_links(labels, again), reps.sparkSession)
 
 
@@ -397,7 +405,8 @@ def linked(reps: DataFrame, docs: DataFrame, shingle: int, percent: int, trees:
     large = family.join(big, "node")
     groups = small_groups(family.join(big, "node", "left_anti")).union(chunked(large, False, chunk))
     labels = components(compare(with_sets(groups, docs, shingle), percent), reps.sparkSession)
-    again = compare(with_sets(chunked(relabelled(large, labels), True, chunk), docs, shingle), percent)
+    parted = stored(relabelled(large, labels), "parted")
+    again = compare(with_sets(chunked(parted, True, chunk), docs, shingle), percent)
     return components(as_links(labels, again), reps.sparkSession)
 
 

@@ -365,6 +365,23 @@ def test_parted_rest_of_every_tree(spark, monkeypatch):
         assert got is not None and {(x["rep"], x["label"]) for x in got.collect()} == {(max(a, b), min(a, b)), (min(a, b), min(a, b))}
 
 
+def test_parted_nodes_are_joined_once(spark, monkeypatch):
+    """Parted nodes are read many times; what they are made of is joined before, once."""
+    plans, plain = [], neardup.chunked
+
+    def chunked(large, parted, chunk):
+        if parted:
+            plans.append(large._jdf.queryExecution().optimizedPlan().toString())
+        return plain(large, parted, chunk)
+
+    monkeypatch.setattr(neardup, "chunked", chunked)
+    family = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"edit{k}" if i == 3 * k else w for i, w in enumerate(family)) for k in range(50)] + [f"other text {k} of few words" for k in range(9)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(docs(spark, texts), 3, 85, small=4, chunk=3).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in plain_components(texts, 3, 85)]
+    assert len(plans) == 2 and not any("Join" in x or "Aggregate" in x for x in plans)
+
+
 def test_stars_and_one_task_agree(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
