@@ -641,6 +641,15 @@ def test_repeats_of_pieces():
         assert [list(map(bool, g)) for g in suffix.repeats(pieces, length)] == [[c[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in pieces]
 
 
+@pytest.mark.parametrize("seed", [3, 12, 13, 19])
+def test_no_repeats_in_a_large_bucket(seed):
+    """Over 256 groups of suffixes, so that the number of a group can equal that of a byte before it."""
+    r = random.Random(seed)
+    pieces = [bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(600)]
+    assert len({p[i : i + 40] for p in pieces for i in range(21)}) == 600 * 21
+    assert not any(g.any() for g in suffix.repeats(pieces, 40))
+
+
 @pytest.mark.parametrize("length,gram,crowd", [(400, 128, 2000), (60, 20, 2000), (60, 20, 1), (60, 20, 3)])
 def test_suffix_dedup(spark, length, gram, crowd):
     texts = mixed(11)
