@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts
 from ..operators import ingest as ops
 from ..registry import query
 from ..sources import archives, listings, repositories
@@ -250,11 +251,10 @@ def packed(t, name: str, pack):
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 50):
-                ids, texts = (b.slice(i, 50).column(k).to_pylist() for k in (0, 1))
-                data = pack([(f"docs/d{k}.txt", (x or "").encode()) for k, x in zip(ids, texts, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array([f"{name.replace('*', str(ids[0]))}"]), pa.array([data], pa.binary())], names=["path", "content"])
+        for b in parts(batches, 50, None):
+            ids, texts = (b.column(k).to_pylist() for k in (0, 1))
+            data = pack([(f"docs/d{k}.txt", (x or "").encode()) for k, x in zip(ids, texts, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name.replace('*', str(ids[0]))}"]), pa.array([data], pa.binary())], names=["path", "content"])
 
     return t.documents.select("doc_id", "text").mapInArrow(run, "path string, content binary")
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import parts
+
 #: Fixed value: a larger document is not converted.
 MAX_DOCUMENT = 10 * 1024 * 1024
 
@@ -48,7 +50,7 @@ def unpacked(archives: DataFrame) -> DataFrame:
     """(path, length, content) of all entries of archives (path, content); an entry's path is the archive's, a slash and its own. One row leaves at a time."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1, None):
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     for inner, body in entries(path, data):

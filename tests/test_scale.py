@@ -1,10 +1,14 @@
 """What steps hold and read: each text once, bounded runs, sections once."""
 
+import gzip
 import random
+import tracemalloc
 
 import pyarrow as pa
 
-from lorebase.operators import postings, search
+from lorebase.functions.batches import parts
+from lorebase.operators import convert, postings, search
+from lorebase.sources import archives
 
 
 def counted_reads(df, spark):
@@ -46,3 +50,43 @@ def test_index_reads_texts_once(spark, monkeypatch):
     near = lambda df: {r["id"]: round(r["score"], 9) for r in df.collect()}
     assert near(postings.bm25(index, [["of", "the"], ["w5"]])) == near(plain)
     assert index.stats.first()["_rows"] == 200
+
+
+def test_parts():
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["x" * (i % 7 * 100_000) for i in range(1000)])], names=["i", "x"])
+    out = list(parts([batch, batch.slice(0, 0), batch.slice(990)]))
+    assert [i for b in out for i in b.column(0).to_pylist()] == [*range(1000), *range(990, 1000)]
+    assert all(b.num_rows == 1 or (b.num_rows <= 256 and b.nbytes <= 4 * 1024 * 1024) for b in out)
+    assert {b.num_rows for b in parts([batch], 50, None)} == {50}
+
+
+class Caught:
+    """In place of a DataFrame: hands out the function that would run over its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def most_held(run, batches) -> int:
+    """Bytes of Python's own objects at the most while the batches, which are Arrow's, are worked on."""
+    tracemalloc.start()
+    try:
+        for _ in run(iter(batches)):
+            pass
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_texts_are_not_all_held():
+    texts = pa.record_batch([pa.array(range(10_000)), pa.array(["x" * 2000] * 10_000)], names=["id", "body"])
+    assert most_held(convert.rewritten(Caught(), lambda x: x[:1]), [texts, texts]) < 5_000_000
+    assert most_held(convert.pieces(Caught(), "list", 300), [texts]) < 5_000_000
+
+
+def test_archives_are_not_all_held():
+    packed = pa.record_batch([pa.array([f"{i}.gz" for i in range(200)]), pa.array([gzip.compress(random.Random(i).randbytes(100_000)) for i in range(200)])], names=["path", "content"])
+    assert most_held(archives.unpacked(Caught()), [packed, packed]) < 2_000_000
