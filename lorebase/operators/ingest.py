@@ -93,6 +93,11 @@ def refreshed(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return x.select("page_id", F.when(F.col("status") == 404, "delete").when(F.col("status") == 200, "write").when(F.col("status").isNull() | (F.col("status") == 304), "keep").otherwise("fail").alias("action"))
 
 
-def compacted(df: DataFrame, path: str, files: int) -> None:
-    """Writes a table anew in few files."""
-    df.coalesce(files).write.mode("overwrite").parquet(path)
+#: Fixed value: input bytes of a file of a compacted table.
+FILE_BYTES = 256 * 1024 * 1024
+
+
+def compacted(df: DataFrame, path: str, files: int, most: int = FILE_BYTES) -> None:
+    """Writes a table anew in few files: as many as asked for, more where one would be made of over ``most`` bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    df.coalesce(min(max(files, -(-size // most)), 2**31 - 1)).write.mode("overwrite").parquet(path)

@@ -7,7 +7,7 @@ import tracemalloc
 import pyarrow as pa
 
 from lorebase.functions.batches import parts
-from lorebase.operators import convert, postings, search
+from lorebase.operators import convert, ingest, postings, search
 from lorebase.sources import archives
 
 
@@ -90,3 +90,13 @@ def test_texts_are_not_all_held():
 def test_archives_are_not_all_held():
     packed = pa.record_batch([pa.array([f"{i}.gz" for i in range(200)]), pa.array([gzip.compress(random.Random(i).randbytes(100_000)) for i in range(200)])], names=["path", "content"])
     assert most_held(archives.unpacked(Caught()), [packed, packed]) < 2_000_000
+
+
+def test_compacted_files_are_bounded(spark, tmp_path):
+    spark.range(0, 40_000, 1, 16).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    ingest.compacted(many, str(tmp_path / "two"), 2)
+    assert len(list((tmp_path / "two").glob("*.parquet"))) == 2
+    size = sum(p.stat().st_size for p in (tmp_path / "many").glob("*.parquet"))
+    ingest.compacted(many, str(tmp_path / "more"), 2, size // 4 + 1)
+    assert len(list((tmp_path / "more").glob("*.parquet"))) == 4 and spark.read.parquet(str(tmp_path / "more")).count() == 40_000
