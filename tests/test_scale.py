@@ -6,6 +6,7 @@ import tracemalloc
 
 import pyarrow as pa
 
+from __spark_entry__ import queries
 from lorebase.functions.batches import parts
 from lorebase.operators import convert, ingest, postings, search
 from lorebase.sources import archives
@@ -100,3 +101,12 @@ def test_compacted_files_are_bounded(spark, tmp_path):
     size = sum(p.stat().st_size for p in (tmp_path / "many").glob("*.parquet"))
     ingest.compacted(many, str(tmp_path / "more"), 2, size // 4 + 1)
     assert len(list((tmp_path / "more").glob("*.parquet"))) == 4 and spark.read.parquet(str(tmp_path / "more")).count() == 40_000
+
+
+def test_approximate_distinct_keeps_no_sketch_per_pair(spark, tmp_path):
+    rows = [(t, i if i % 50 else None) for t in ("view", "click", None) for i in range(300)]
+    spark.createDataFrame(rows * 2, "event_type string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    df = queries()["agg_25_approximate"](spark, str(tmp_path))
+    assert {(r["event_type"], r["close"]) for r in df.collect()} == {("view", True), ("click", True), (None, True)}
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert not any("approx_count_distinct" in line and "keys=[event_type" in line and "user_id" in line.split("functions=")[0] for line in plan.splitlines())
