@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from lorebase.functions import convert as html
+from lorebase.functions import urls
 from lorebase.functions.batches import parts
 from lorebase.operators import convert, hierarchy, ingest, postings, search
 from lorebase.sources import archives
@@ -123,3 +125,14 @@ def test_approximate_distinct_keeps_no_sketch_per_pair(spark, tmp_path):
     assert {(r["event_type"], r["close"]) for r in df.collect()} == {("view", True), ("click", True), (None, True)}
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert not any("approx_count_distinct" in line and "keys=[event_type" in line and "user_id" in line.split("functions=")[0] for line in plan.splitlines())
+
+
+def test_conversion_asks_once(monkeypatch):
+    """A link is resolved once for the list and the text; an element meets the selectors that its own attributes can fit."""
+    joined, asked = [], []
+    join, fits = urls.urljoin, html.Selectors._fits
+    monkeypatch.setattr(urls, "urljoin", lambda b, u: joined.append(u) or join(b, u))
+    monkeypatch.setattr(html.Selectors, "_fits", staticmethod(lambda n, *p: asked.append(n.tag) or fits(n, *p)))
+    page = html.html_page("<p>\x1c a\n b <a href='/once-1'>x</a><a class=skip-link href='/once-2'>skip</a><img src='once.png'></p>", "https://asks-once.org/d/p")
+    assert page == {"title": "Untitled", "links": ["https://asks-once.org/once-1", "https://asks-once.org/once-2"], "markdown": "a b [x](https://asks-once.org/once-1)![](https://asks-once.org/d/once.png)"}
+    assert sorted(joined) == ["/once-1", "/once-2", "once.png"] and len(asked) < 40
