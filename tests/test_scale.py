@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from lorebase.functions import convert as html
-from lorebase.functions import urls
+from lorebase.functions import mime, urls
 from lorebase.functions.batches import parts
 from lorebase.operators import convert, hierarchy, ingest, postings, search
 from lorebase.sources import archives
@@ -136,3 +136,12 @@ def test_conversion_asks_once(monkeypatch):
     page = html.html_page("<p>\x1c a\n b <a href='/once-1'>x</a><a class=skip-link href='/once-2'>skip</a><img src='once.png'></p>", "https://asks-once.org/d/p")
     assert page == {"title": "Untitled", "links": ["https://asks-once.org/once-1", "https://asks-once.org/once-2"], "markdown": "a b [x](https://asks-once.org/once-1)![](https://asks-once.org/d/once.png)"}
     assert sorted(joined) == ["/once-1", "/once-2", "once.png"] and len(asked) < 40
+
+
+def test_types_are_worked_out_once(spark):
+    """Binary media and documents without a text have no row, and no condition repeats the type's expression below."""
+    rows = [(1, "a.txt", "x"), (2, "b.png", "x"), (3, "c.pdf", "x"), (4, "d.pdf", None), (5, "e.md", None), (6, "f.pdf", "y" * (convert.MAX_DOCUMENT + 1)), (7, "g.pdf", "é" * convert.MAX_DOCUMENT)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, body string").withColumn("mime", F.coalesce(mime.detect("url"), F.lit("text/plain")))
+    out = convert.converted(pages)
+    assert sorted((r["page_id"], r["pipeline"]) for r in out.select("page_id", "pipeline").collect()) == [(1, "text"), (3, "document"), (5, "markdown"), (7, "document")]
+    assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
